@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.session import table
-from codeweft.llm import leakage, percentiles, tokenize
+from codeweft.llm import docpairs, garble, leakage, percentiles, tokenize
 
 
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p4_merged_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.bounds(percentiles.merge(states, groups), groups, list(percentiles.QUANTILES.values()))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.found_pairs(table(spark, sf_dir, "symbols"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "symbols"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,17 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.clean_documents(table(spark, sf_dir, "documents"), p8_leaks(spark, sf_dir)).select("doc_id", "n_chars")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_repaired(spark, sf_dir).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.find_garbled(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p7_ids, p8_found, p8_leaks, p8_clean)}
+    p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs,
+    p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """
 WITH once AS (SELECT DISTINCT event_no, recorded_at, tool, duration_ms, estimated_tokens FROM session_telemetry),
