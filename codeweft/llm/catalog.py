@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.session import table
-from codeweft.llm import docpairs, garble, leakage, percentiles, tokenize
+from codeweft.llm import docpairs, garble, leakage, percentiles, spans, tokenize
 
 
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,23 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "symbols"))
 
 
+def _shared_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = table(spark, sf_dir, "symbols")
+    return spans.shared_windows(symbols, symbols.groupBy("id").agg(F.max("seq").alias("seq")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_pairs(_shared_windows(spark, sf_dir))
+
+
+def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.intervals(_shared_windows(spark, sf_dir))
+
+
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.coverage(p6_intervals(spark, sf_dir), table(spark, sf_dir, "symbols"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -59,7 +76,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs,
+    p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
     p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """
