@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.session import table
-from codeweft.llm import docpairs, garble, leakage, percentiles, spans, tokenize
+from codeweft.llm import docpairs, garble, leakage, percentiles, sourceclass, spans, tokenize
+
+
+#: The house whose hand-written source is to remain.
+HOUSE = "Kestrel Orchard Works"
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourceclass.found(p1_classes(spark, sf_dir))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourceclass.classify(table(spark, sf_dir, "source_files"), HOUSE)
 
 
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +88,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
+    p1_found, p1_classes, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
     p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """
