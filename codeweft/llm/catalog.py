@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.session import table
-from codeweft.llm import docpairs, garble, leakage, percentiles, sourceclass, spans, tokenize
+from codeweft.llm import docpairs, garble, leakage, neighbours, percentiles, sourceclass, spans, tokenize
 
 
 #: The house whose hand-written source is to remain.
@@ -20,6 +20,11 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourceclass.classify(table(spark, sf_dir, "source_files"), HOUSE)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(table(spark, sf_dir, "symbols"), 0.9)
+    return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+
+
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["metric", "tool", "day"]
     keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value")
@@ -88,7 +93,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_classes, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
+    p1_found, p1_classes, p3_found, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
     p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """
