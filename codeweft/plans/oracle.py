@@ -286,7 +286,7 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
     "unimplemented": BASE + f""", m AS (SELECT name, min(CASE WHEN contains(body, 'codes.Unimplemented') THEN 1 ELSE 0 END) AS stubbed FROM sym WHERE kind = 'method' AND NOT {_GEN} GROUP BY name)
         SELECT {_PARENT} AS service, id AS rpc, CASE WHEN stubbed IS NULL THEN 'missing' WHEN stubbed = 1 THEN 'stubbed' ELSE 'implemented' END AS state FROM sym LEFT JOIN m USING (name) WHERE kind = 'rpc'""",
     "unimplemented_counts": BASE + f""", m AS (SELECT name, min(CASE WHEN contains(body, 'codes.Unimplemented') THEN 1 ELSE 0 END) AS st FROM sym WHERE kind = 'method' AND NOT {_GEN} GROUP BY name)
-        SELECT {_PARENT} AS service, count(*) AS total, count_if(st = 0) AS implemented, count_if(st = 1) AS stubbed, count_if(st IS NULL) AS missing FROM sym LEFT JOIN m USING (name) WHERE kind = 'rpc' GROUP BY service""",
+        SELECT {_PARENT} AS service, count(*) AS total, count(*) FILTER (WHERE st = 0) AS implemented, count(*) FILTER (WHERE st = 1) AS stubbed, count(*) FILTER (WHERE st IS NULL) AS missing FROM sym LEFT JOIN m USING (name) WHERE kind = 'rpc' GROUP BY service""",
     "dml_upsert_merge": _VERSIONS + """SELECT base.id, coalesce(chg.seq, base.seq) AS seq, base.kind, coalesce(chg.line_start, base.line_start) AS line_start,
         CASE WHEN chg.id IS NULL OR same THEN base.embedding_model ELSE '' END AS embedding_model, coalesce(CASE WHEN chg.id IS NULL OR same THEN len(base.embedding) END, -1) AS length
         FROM base LEFT JOIN (SELECT chg.*, chg.name = b.name AND chg.signature = b.signature AND chg.docstring IS NOT DISTINCT FROM b.docstring AS same FROM chg JOIN base b USING (id)) chg USING (id)""",
