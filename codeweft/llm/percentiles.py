@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from codeweft.session import checkpointed
 
@@ -20,7 +20,7 @@ FIRST_BITS = 20
 NEXT_BITS = 22
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def order_key(v: pd.Series) -> pd.Series:
     """Signed integer that sorts as the double does; -0.0 as 0.0; NaN and null: null."""
     x = v.to_numpy(dtype="float64", na_value=np.nan) + 0.0
@@ -29,7 +29,7 @@ def order_key(v: pd.Series) -> pd.Series:
     return pd.Series(keys).astype("Int64").mask(np.isnan(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def key_value(k: pd.Series) -> pd.Series:
     """Inverse of order_key."""
     keys = k.to_numpy(dtype="int64", na_value=0)
