@@ -154,6 +154,9 @@ def cost(word: str) -> float:
                 c += 0.7
     if n == 1 and word in "ÃÂ":
         c += LOST
+    odd = [ch for ch in word if ch > "\x7f" and _kind(ch) in "lu"]
+    if len(odd) >= 3 and all(_script(ch) == "latin" for ch in odd) and not any(ch.isascii() and ch.isalpha() for ch in word):
+        c += 0.5 * len(odd)  # no language writes words of accented letters alone
     return c
 
 
@@ -314,7 +317,8 @@ def repair(text: str, cache: dict) -> tuple[str, list[str], bool]:
                     got = w.encode(wrong).decode(right)
                 except UnicodeError:
                     continue
-                if w.isupper() and got.islower() and cost(got) <= cost(w):
+                other = right in ("cp1251", "koi8_r") and wrong in ("cp1252", "latin_1") and not any(ch.isascii() and ch.isalpha() for ch in w)
+                if (w.isupper() and got.islower() or other) and cost(got) <= cost(w):
                     w = got
                     break
         out += [text[at:a], w]
