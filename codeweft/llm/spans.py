@@ -123,10 +123,11 @@ def fingerprints(rows: DataFrame, key: str, text: str, window: int = WINDOW, lea
 
 
 def _repeated(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """Rows whose ``by`` occurs with more than one key; one shuffle serves both sides."""
-    placed = rows.repartition(by)
-    groups = placed.groupBy(by).agg(F.min(key).alias("least_key"), F.max(key).alias("most_key"))
-    return placed.join(groups.filter("least_key < most_key").select(by), by, "left_semi")
+    """Rows whose ``by`` occurs with more than one key: one shuffle, one sort, and a window
+    whose rows beyond memory go to disk, so a value that many records hold does no harm."""
+    w = Window.partitionBy(by)
+    return (rows.withColumn("least_key", F.min(key).over(w)).withColumn("most_key", F.max(key).over(w))
+            .filter("least_key < most_key").drop("least_key", "most_key"))
 
 
 def full_windows(rows: DataFrame, ranges: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
