@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeweft.session import table
+from codeweft.session import checkpointed, table
 from codeweft.llm import docpairs, garble, leakage, neighbours, percentiles, sourceclass, spans, tokenize
 
 
@@ -25,6 +25,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every current row, approximate."""
+    return neighbours.nearest_rows(table(spark, sf_dir, "symbols"))
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row searched in the graph."""
+    graph = checkpointed(p3_neighbours(spark, sf_dir))
+    codes = neighbours.current_codes(table(spark, sf_dir, "symbols"), "seq", "id", "embedding_model", "embedding", 8)
+    queries = codes.filter("seq % 100 = 0").select(F.col("seq").alias("query"), "model", "code")
+    return neighbours.greedy_search(graph, codes, queries)
+
+
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["metric", "tool", "day"]
     keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value")
@@ -93,7 +106,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_classes, p3_found, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
+    p1_found, p1_classes, p3_found, p3_neighbours, p3_search, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
     p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """
