@@ -3,19 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.functions import text
 from codeweft.operators import policy
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place the cluster shares, else a temporary one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='codeweft-stream-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from codeweft.session import shared_folder
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
