@@ -170,7 +170,7 @@ def scalar_layers(spark, sf_dir):
 
 @query
 def scalar_query_terms(spark, sf_dir):
-    q = index.tasks(spark, sf_dir)
+    q = index.query_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
     j = lambda c: F.array_join(c, " ").alias(c)
     return q.select("query", j("idents"), j("words"), j("terms"), j("parts"))
 

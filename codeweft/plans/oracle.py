@@ -224,7 +224,7 @@ SQL = {
     "scalar_names": BASE + f"SELECT id, {_DECOMPOSE.format(w='name')} AS words, {_COMPOUND.format(w='name')} AS compound, array_to_string(list_transform(list_filter(string_split(name, '_'), lambda p: p <> ''), lambda p: upper(p[1:1]) || p[2:]), '') AS go_name, {_LASTNAME} AS last_name FROM sym",
     "scalar_rpc_messages": BASE + f"SELECT id, {_REQ} AS request, {_RESP} AS response FROM sym WHERE kind = 'rpc'",
     "scalar_layers": f"SELECT DISTINCT file, {_LAYER} AS layer, {_EXT.format(f='file')} AS ext, {_DIR} AS folder, {_GEN} AS generated FROM source_files",
-    "scalar_query_terms": BASE + TASKS + "SELECT query, array_to_string(idents, ' ') AS idents, array_to_string(words, ' ') AS words, array_to_string(terms, ' ') AS terms, array_to_string(parts, ' ') AS parts FROM tasks",
+    "scalar_query_terms": "WITH " + TASKS.lstrip()[1:].replace("SELECT item_id AS query, prompt,", "SELECT doc_id AS query, prompt,").replace("FROM task_manifest WHERE", "FROM (SELECT doc_id, text AS prompt FROM documents) WHERE") + "SELECT query, array_to_string(idents, ' ') AS idents, array_to_string(words, ' ') AS words, array_to_string(terms, ' ') AS terms, array_to_string(parts, ' ') AS parts FROM tasks",
     "fts_document_frequency": BASE + _POSTINGS.replace("{src}", "sym") + "SELECT token, count(*) AS records, min(seq) AS first_seq FROM post GROUP BY token",
     "fts_or_search": BASE + TASKS + _POSTINGS.replace("{src}", "sym") + _HITS.format(limit=_FETCH) + "SELECT query, id, pos FROM hits",
     "fts_by_kind": BASE + TASKS + ", picked AS (SELECT * FROM sym WHERE kind IN ('rpc', 'service', 'method'))" + _POSTINGS.replace("{src}", "picked") + _HITS.format(limit="20") + "SELECT query, id, pos FROM hits",

@@ -29,12 +29,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_set(table(spark, sf_dir, "edges"))
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search tasks with what retrieval needs of their text: a table of fixed size."""
+def query_texts(df: DataFrame, key: str, prompt: str) -> DataFrame:
+    """query, prompt and what retrieval needs of a text."""
     p = F.col("prompt")
     return (
-        table(spark, sf_dir, "task_manifest").filter("prompt is not null")
-        .select(F.col("item_id").alias("query"), "prompt", text.compound_idents(p).alias("idents"), text.query_words(p).alias("words"),
+        df.select(F.col(key).alias("query"), F.col(prompt).alias("prompt")).filter("prompt is not null")
+        .select("query", "prompt", text.compound_idents(p).alias("idents"), text.query_words(p).alias("words"),
                 text.search_terms(p).alias("terms"), text.compound_parts(p).alias("parts"))
         .withColumn("scoring", F.concat("terms", "parts"))
     )
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search tasks: a table of fixed size."""
+    return query_texts(table(spark, sf_dir, "task_manifest"), "item_id", "prompt")
