@@ -84,10 +84,11 @@ def bounds(state: DataFrame, groups: list[str], quantiles: list[float]) -> DataF
 def select(keys: DataFrame, groups: list[str], quantiles: list[float]) -> DataFrame:
     """Exact nearest-rank percentiles: groups, q, n, value.
 
-    keys: output of ``keyed``; it is read once per pass, two or three passes in all, and
-    only the rows of opened buckets go on. Group columns may be null (one group). Groups
+    keys: output of ``keyed``; it is written once, as narrow columns, and read once per pass,
+    two or three passes in all; only the rows of opened buckets go on. Group columns may be null (one group). Groups
     without values give no row; ties and repeats count each; an empty table gives none.
     """
+    keys = checkpointed(keys)
     found = checkpointed(_locate(histogram(keys, groups), groups, quantiles))
     done, bits = [found.filter("lo = hi")], FIRST_BITS
     open_ = found.filter("lo < hi")
