@@ -29,7 +29,11 @@ TREES, DEPTH, SEED = 60, 10, 11
 _GENERATED_NOTICE = re.compile(
     r"\bdo not (?:edit|modify|touch)\b|@generated\b|\bauto-?generated\b|\bautomatically (?:generated|produced|created|written)\b|"
     r"\b(?:edits|changes|modifications)\b.{0,30}\bwill be (?:lost|overwritten|discarded)\b|\bcode generated (?:by|from)\b|"
-    r"\bgenerated (?:by|from)\b.{0,60}\b(?:protoc|openapi|swagger|grpc|thrift|antlr)\b", re.I)
+    r"\bgenerated (?:by|from)\b.{0,60}\b(?:protoc|openapi|swagger|grpc|thrift|antlr)\b|"
+    r"\bautomatisch (?:erzeugt|generiert|erstellt)|\bnicht (?:von hand |manuell )?(?:bearbeiten|ändern|editieren)\b|"
+    r"\b(?:généré|créé)e?s? automatiquement|\bne pas (?:modifier|éditer)\b|\b(?:generad[oa]s?|cread[oa]s?) automáticamente|\bno (?:editar|modificar)\b|"
+    r"\bgerad[oa]s? automaticamente|\bnão (?:editar|modificar|edite|modifique)\b|\bgenerat[oaie] automaticamente|\bnon modificare\b|\bautomatisch gegenereerd|\bniet (?:bewerken|wijzigen)\b|"
+    r"автоматически (?:создан|сгенерирован)|сгенерирован[оа]? автоматически|не (?:редактировать|изменять|редактируйте|изменяйте)|自動生成|自動的に生成|編集しないで|自动生成|请勿(?:编辑|修改)|자동 ?생성", re.I)
 _MINIFIED_NOTICE = re.compile(r"\bminified\b|/\*!\s|sourceMappingURL", re.I)
 _BY_HAND = re.compile(r"\bmaintained by hand\b|\bwritten by hand\b|\bhand-?written\b|\bgo:generate\b", re.I)
 _COPIED_NOTICE = re.compile(

@@ -276,6 +276,9 @@ def test_notices_and_names():
     assert n("// Copyright 2025 Kestrel Orchard Works. Internal use only.\npackage a") == sourceclass.HAND
     assert n("// Started from a x template; maintained by hand since 2021.\npackage a") == sourceclass.HAND
     assert n("// Copyright (c) 2021 The Quillon Authors. All rights reserved.\npackage a") == sourceclass.VENDORED
+    assert n("// Copyright 2025 Kestrel Orchard Works.\n// Automatisch erzeugt mit x. Nicht von Hand bearbeiten.\n\npackage a") == sourceclass.GENERATED
+    assert n("# 自動生成\nx = 1") == sourceclass.GENERATED and n("// Généré automatiquement, ne pas modifier.\npackage a") == sourceclass.GENERATED
+    assert n("// Licences are renewed automatically.\npackage a") is None
     assert n("package a\n// Code generated by x. DO NOT EDIT.") is None and n('package a\nconst h = "// Code generated by x. DO NOT EDIT."') is None and n(None) is None
     assert sourceclass.named("m/internal/deps/a.go") is None and sourceclass.named("m/deps/lib/a.go") == sourceclass.VENDORED and sourceclass.named("m/codegen/a.go") is None
 
