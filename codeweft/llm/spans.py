@@ -20,6 +20,10 @@ from codeweft.session import checkpointed
 
 LEAST = 200
 WINDOW = 150
+#: A value that more than this part of all rows hold is treated as hot, so there are at most as many.
+MOST_HOT = 1_000
+#: Hash buckets in which rows are counted to find hot values.
+BUCKETS = 1 << 14
 #: Characters hashed at a time in a task, whole texts each (a longer text is taken alone).
 SLICE = 1 << 19
 
@@ -122,12 +126,40 @@ def fingerprints(rows: DataFrame, key: str, text: str, window: int = WINDOW, lea
         run, f"fp long, `{key}` long, at int, n int")
 
 
-def _repeated(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """Rows whose ``by`` occurs with more than one key: one shuffle, one sort, and a window
-    whose rows beyond memory go to disk, so a value that many records hold does no harm."""
+def _heavy(rows: DataFrame, by: str, most: int) -> DataFrame | None:
+    """Values of ``by`` (long) that more than 1 / most of all rows hold: fewer than ``most``, or none.
+
+    Counted exactly in two narrow passes: rows per hash bucket, combined before the shuffle
+    to at most ``BUCKETS`` rows a task; then rows per value, of overfull buckets only.
+    """
+    bucket = F.pmod(F.xxhash64(by), F.lit(BUCKETS))
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+    total = sum(b["n"] for b in counts)
+    heavy = [b["bucket"] for b in counts if b["n"] > total / most]
+    if not heavy:
+        return None
+    return (rows.filter(bucket.isin(heavy)).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > total / most).select(by))
+
+
+def _repeated(rows: DataFrame, by: str, key: str, most: int = MOST_HOT) -> DataFrame:
+    """Rows whose ``by`` (long) occurs with more than one key. rows: written, for they are read several times.
+
+    Values held by more than 1 / most of all rows never meet in one task: their keys are
+    compared by an aggregate that is combined before its shuffle, and their rows stay where
+    they lie. The others take one shuffle, one sort and a window.
+    """
+    heavy = _heavy(rows, by, most)
+    hot = None if heavy is None else F.broadcast(checkpointed(heavy))
     w = Window.partitionBy(by)
-    return (rows.withColumn("least_key", F.min(key).over(w)).withColumn("most_key", F.max(key).over(w))
+    cold = rows if hot is None else rows.join(hot, by, "left_anti")
+    cold = (cold.withColumn("least_key", F.min(key).over(w)).withColumn("most_key", F.max(key).over(w))
             .filter("least_key < most_key").drop("least_key", "most_key"))
+    if hot is None:
+        return cold
+    held = rows.join(hot, by, "left_semi")
+    several = held.groupBy(by).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").select(by)
+    return cold.unionByName(held.join(F.broadcast(several), by, "left_semi"))
 
 
 def full_windows(rows: DataFrame, ranges: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
@@ -164,11 +196,12 @@ def shared_windows(rows: DataFrame, current: DataFrame, key: str = "seq", text:
     Null, empty and shorter texts share nothing. A span that recurs within one record only
     is not shared. Very long texts are hashed whole, each alone.
     """
-    # what is repeated is a small part of all: written once, it is not hashed again by later steps
-    alike = checkpointed(_repeated(fingerprints(rows, key, text, window, least), "fp", key))
+    # written once and narrow: the texts are not hashed again by the counts
+    alike = checkpointed(_repeated(checkpointed(fingerprints(rows, key, text, window, least)), "fp", key))
     # versions of a record that are not current drop out before anything is compared
-    alike = _repeated(alike.join(current.select(key), key, "left_semi"), "fp", key)
-    return checkpointed(_repeated(full_windows(rows, alike.select(key, "at", "n"), key, text, least), "full", key))
+    alike = _repeated(checkpointed(alike.join(current.select(key), key, "left_semi")), "fp", key)
+    full = checkpointed(full_windows(rows, alike.select(key, "at", "n"), key, text, least))
+    return checkpointed(_repeated(full, "full", key))
 
 
 def sharing_pairs(shared: DataFrame, key: str = "seq") -> DataFrame:

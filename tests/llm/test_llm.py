@@ -246,6 +246,20 @@ def test_spans_against_brute_force(spark):
     assert spans.shared_windows(df.limit(0), df.select("seq")).count() == 0
 
 
+def test_repeated_values_hot_and_cold(spark):
+    rnd = random.Random(8)
+    rows = [(7, rnd.randrange(50), i) for i in range(300)] + [(8, 1, i) for i in range(200)] + [(rnd.randrange(100, 400), rnd.randrange(40), i) for i in range(400)]
+    rows += [(None, 1, 0), (None, 2, 0)]
+    df = spark.createDataFrame(rows, "fp long, seq long, at int")
+    keys = {}
+    for fp, k, _ in rows:
+        keys.setdefault(fp, set()).add(k)
+    want = sorted(r for r in rows if r[0] is not None and len(keys[r[0]]) > 1)
+    assert {r.fp for r in spans._heavy(df, "fp", 10).collect()} == {7, 8}
+    for most in (1, 10, 1000):
+        assert sorted(tuple(r) for r in spans._repeated(df.filter("fp is not null"), "fp", "seq", most).collect()) == want
+
+
 # neighbours
 
 
