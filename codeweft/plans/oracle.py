@@ -105,7 +105,7 @@ _RANK = f"""
 """
 _COST = "((strlen(id) + strlen(kind) + strlen(signature) + strlen(file) + 20) // 4)"
 _TRIMMED = f"""
-, costed AS (SELECT *, sum({_COST}) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked),
+, costed AS (SELECT *, sum({_COST}) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM ranked),
 trimmed AS (SELECT * FROM costed WHERE used <= {{budget}})
 """
 _CONTEXT = (
@@ -123,7 +123,7 @@ _CONTEXT = (
 _LISTED = f", listed AS (SELECT package, {{query}} AS query, id, kind, file, signature, round({_KW} + {_IMPL} + {_PEN}, 9) AS score, 'listed' AS why FROM sym)"
 _PACKAGES = f"""
 , kinds AS (SELECT query, {_DIR} AS folder, kind, count(*) AS n FROM {{src}} GROUP BY ALL),
-folders AS (SELECT query, folder, sum(n) AS symbols, array_to_string(list_sort(list(CASE WHEN n > 1 THEN n || ' ' || kind || 's' ELSE kind END)), ', ') AS kinds FROM kinds GROUP BY ALL)
+folders AS (SELECT query, folder, sum(n)::BIGINT AS symbols, array_to_string(list_sort(list(CASE WHEN n > 1 THEN n || ' ' || kind || 's' ELSE kind END)), ', ') AS kinds FROM kinds GROUP BY ALL)
 SELECT query, folder, symbols, kinds FROM folders QUALIFY count(*) OVER (PARTITION BY query) > 1
 """
 _CALL_IDENTS = r"list_filter(regexp_extract_all(body, '([A-Za-z0-9_]+)[ \t]*\(', 1), lambda x: regexp_matches(x, '^[A-Z]'))"
@@ -300,19 +300,19 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
     "dml_nearest_module": r"""WITH f AS (SELECT DISTINCT file FROM source_files), h AS (SELECT DISTINCT regexp_extract(file, '^([^/]+(?:/(?:web|proto|pkg|core|internal))?)/', 1) AS folder FROM f)
         SELECT file, folder FROM f JOIN h ON folder <> '' AND starts_with(file, folder || '/') QUALIFY row_number() OVER (PARTITION BY file ORDER BY length(folder) DESC) = 1""",
     "policy_decisions": _DECIDE + "SELECT * FROM d",
-    "policy_stats": _DECIDE + "SELECT class, count(*) AS reads, count_if(proposed = 'block') AS blocks, count_if(NOT allowed) AS denied, count_if(overridden) AS overrides FROM d GROUP BY class",
-    "session_stats": _ONCE + "SELECT repo, command, count(*) AS total, count_if(success) AS ok, count_if(NOT success) AS failed, sum(response_bytes)::BIGINT AS bytes, sum(estimated_tokens)::BIGINT AS tokens FROM t GROUP BY ALL",
+    "policy_stats": _DECIDE + "SELECT class, count(*) AS reads, count_if(proposed = 'block')::BIGINT AS blocks, count_if(NOT allowed)::BIGINT AS denied, count_if(overridden)::BIGINT AS overrides FROM d GROUP BY class",
+    "session_stats": _ONCE + "SELECT repo, command, count(*) AS total, count_if(success)::BIGINT AS ok, count_if(NOT success)::BIGINT AS failed, sum(response_bytes)::BIGINT AS bytes, sum(estimated_tokens)::BIGINT AS tokens FROM t GROUP BY ALL",
     "session_rollup": _ONCE + ", u AS (SELECT lower(trim(coalesce(tool, 'none'))) AS tool, command FROM t) SELECT tool, command, count(*) AS calls, grouping(tool, command) AS level FROM u GROUP BY ROLLUP (tool, command)",
     "session_percentiles": _ONCE + "SELECT command, quantile_disc(response_bytes, 0.5) AS p50, quantile_disc(response_bytes, 0.95) AS p95 FROM t GROUP BY command",
     "eval_recall_mrr": _RANKS + """, per AS (SELECT query, min(rank) AS best, count(*) AS n, count_if(rank <= 5) AS a, count_if(rank <= 10) AS b FROM ra GROUP BY query)
         SELECT sum(n)::BIGINT AS targets, round(sum(a) / sum(n), 6) AS recall_5, round(sum(b) / sum(n), 6) AS recall_10, round(avg(1.0 / best), 6) AS mrr FROM per""",
-    "eval_rank_delta": _RANKS + """SELECT count_if(y < x) AS improved, count_if(y > x) AS worsened, count_if(y = x) AS unchanged
+    "eval_rank_delta": _RANKS + """SELECT count_if(y < x)::BIGINT AS improved, count_if(y > x)::BIGINT AS worsened, count_if(y = x)::BIGINT AS unchanged
         FROM (SELECT query, min(rank) AS x FROM ra GROUP BY query) JOIN (SELECT query, min(rank) AS y FROM rb GROUP BY query) USING (query)""",
     "stream_policy": _DECIDE.replace("SELECT DISTINCT ON (event_no) * FROM read_events", "SELECT * FROM read_events") + "SELECT * FROM d",
-    "stream_tumbling": "SELECT repo, date_trunc('day', recorded_at AT TIME ZONE 'UTC') AS start, count(*) AS calls, count_if(NOT success) AS failed FROM session_telemetry GROUP BY ALL",
+    "stream_tumbling": "SELECT repo, date_trunc('day', recorded_at AT TIME ZONE 'UTC') AS start, count(*) AS calls, count_if(NOT success)::BIGINT AS failed FROM session_telemetry GROUP BY ALL",
     "stream_debounce": f"""WITH e AS (SELECT {_EXT.format(f='lower(file)')} AS ext, recorded_at AT TIME ZONE 'UTC' AS ts, start_line FROM read_events),
         g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY ext ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY ext ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM e),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY ext ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
-        SELECT ext, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS reads, count_if(start_line IS NULL) AS whole FROM s GROUP BY ext, no""",
+        SELECT ext, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS reads, count_if(start_line IS NULL)::BIGINT AS whole FROM s GROUP BY ext, no""",
     "stream_dedup": "SELECT DISTINCT ON (event_no) event_no, file FROM read_events",
 }
