@@ -35,7 +35,8 @@ _GENERATED_NOTICE = re.compile(
     r"\bgerad[oa]s? automaticamente|\bnão (?:editar|modificar|edite|modifique)\b|\bgenerat[oaie] automaticamente|\bnon modificare\b|\bautomatisch gegenereerd|\bniet (?:bewerken|wijzigen)\b|"
     r"автоматически (?:создан|сгенерирован)|сгенерирован[оа]? автоматически|не (?:редактировать|изменять|редактируйте|изменяйте)|自動生成|自動的に生成|編集しないで|自动生成|请勿(?:编辑|修改)|자동 ?생성", re.I)
 _MINIFIED_NOTICE = re.compile(r"\bminified\b|/\*!\s|sourceMappingURL", re.I)
-_BY_HAND = re.compile(r"\bmaintained by hand\b|\bwritten by hand\b|\bhand-?written\b|\bgo:generate\b", re.I)
+_BY_HAND = re.compile(r"(?<!not )\b(?:maintained by hand|written by hand|hand-?written)\b|\bgo:generate\b", re.I)
+_KEPT_BY_HAND = re.compile(r"(?<!not )\b(?:maintained|kept) by hand\b", re.I)
 _COPIED_NOTICE = re.compile(
     r"\b(?:copied|taken|vendored|imported|adapted|derived|ported|forked)\b.{0,40}\b(?:from|unmodified|unchanged|verbatim)\b|\bsee LICENSE\.\w+|"
     r"\b\d+\.\d+(?:\.\d+)?\s*\|\s*\(c\)|\breleased under the\b|\bredistribution (?:is|and)\b|\bpublic terms\b", re.I)
@@ -73,6 +74,11 @@ def split_header(head: str) -> tuple[list[str], str]:
     return [x for x in lines[:out] if x.strip()], "\n".join(lines[out:])
 
 
+def kept_by_hand(head: str | None) -> bool:
+    """Whether a line of the header says so."""
+    return bool(head) and any(_KEPT_BY_HAND.search(line) for line in split_header(head)[0])
+
+
 def notice(head: str | None, house: str) -> int | None:
     """What the header says of the file; HAND for the house's own notice; None if nothing."""
     if not head:
@@ -80,11 +86,13 @@ def notice(head: str | None, house: str) -> int | None:
     header, _ = split_header(head)
     own = False
     found: int | None = None
+    kept = kept_by_hand(head)  # then another line's "do not modify" speaks of the template
     for line in header:
         if _BY_HAND.search(line):
             own = True
         elif _GENERATED_NOTICE.search(line):
-            return GENERATED
+            if not kept:
+                return GENERATED
         elif _MINIFIED_NOTICE.search(line):
             found = MINIFIED
         elif _COPIED_NOTICE.search(line):
@@ -142,7 +150,7 @@ def features(head: str | None, n_lines: float, n_bytes: float) -> list[float]:
 
 
 def described(files: DataFrame, house: str) -> DataFrame:
-    """file, notice, named, features of every distinct path.
+    """file, notice, kept, named, features of every distinct path.
 
     Repeated rows count once. A null head leaves the sizes as features; a null path is left out.
     """
@@ -152,6 +160,7 @@ def described(files: DataFrame, house: str) -> DataFrame:
             yield pd.DataFrame({
                 "file": f["file"],
                 "notice": pd.array([notice(h, house) for h in f["head"]], dtype="Int32"),
+                "kept": [kept_by_hand(h) for h in f["head"]],
                 "named": pd.array([named(p) for p in f["file"]], dtype="Int32"),
                 "features": [features(h, 0 if a != a else a, 0 if b != b else b)
                              for h, a, b in zip(f["head"], f["n_lines"], f["n_bytes"])],
@@ -159,7 +168,7 @@ def described(files: DataFrame, house: str) -> DataFrame:
 
     once = files.filter("file is not null").groupBy("file").agg(
         F.max(F.struct("n_bytes", "n_lines", "head")).alias("r")).select("file", "r.head", "r.n_lines", "r.n_bytes")
-    return once.mapInPandas(run, "file string, notice int, named int, features array<double>")
+    return once.mapInPandas(run, "file string, notice int, kept boolean, named int, features array<double>")
 
 
 def labelled(rows: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
@@ -181,15 +190,16 @@ def labelled(rows: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
 def classify(files: DataFrame, house: str, most: int = LABELLED_ROWS) -> DataFrame:
     """file, class, chance (of not being written by hand), by (what decided).
 
-    Where the header or the tool's name for the file is explicit it stands as an exact check
-    after the forest; otherwise the forest decides. Files of an empty table give no row;
-    where fewer than two classes are labelled only the explicit ones are told.
+    The forest decides wherever content is seen, with two exceptions: a header that says the
+    file is generated or kept by hand stands, and copies from elsewhere are told by notice or
+    folder. Where nothing of the content is seen, the notice or the tool's name for the file
+    stands. Files of an empty table give no row; where fewer than two classes are labelled
+    notices and names are all there is.
     """
     from codeweft.session import checkpointed
 
     rows = checkpointed(described(files, house))
     train = labelled(rows, most)
-    explicit = F.coalesce("notice", "named")
     kinds = [r[0] for r in train.select("label").distinct().collect()]  # at most five
     if len(kinds) < 2:
         judged = rows.withColumn("chance", F.lit(None).cast("double")).withColumn("guess", F.lit(HAND))
@@ -200,10 +210,13 @@ def classify(files: DataFrame, house: str, most: int = LABELLED_ROWS) -> DataFra
         judged = (model.transform(rows.withColumn("vector", array_to_vector("features")))
                   .withColumn("chance", F.lit(1.0) - p[0]).withColumn("guess", F.col("prediction").cast("int"))
                   .withColumn("guess", F.when(F.col("chance") >= 0.5, F.when(F.col("guess") == HAND, GENERATED).otherwise(F.col("guess"))).otherwise(HAND)))
-    strong = F.when(F.col("notice") == HAND, F.when(F.col("named").isin(GENERATED, VENDORED), F.col("named")).otherwise(F.lit(None))).otherwise(explicit)
+    unseen = F.lit(True) if len(kinds) < 2 else F.col("features")[0] != 1.0
+    placed = F.when(F.col("named").isin(GENERATED, VENDORED) | F.col("notice").isNull(), F.col("named"))
+    strong = (F.when(F.col("named") == VENDORED, F.lit(VENDORED)).when(F.col("notice").isin(GENERATED, VENDORED), F.col("notice"))
+              .when(F.col("kept") & (F.col("notice") == HAND), F.lit(HAND)).when(unseen, F.coalesce(placed, F.col("notice"))))
     return judged.select(
-        "file", F.coalesce(strong, F.when(F.col("notice") == HAND, F.lit(HAND)), F.col("guess")).alias("class"), "chance",
-        F.when(strong.isNotNull(), F.lit("notice or name")).when(F.col("notice") == HAND, F.lit("house notice")).otherwise(F.lit("forest")).alias("by"),
+        "file", F.coalesce(strong, F.col("guess")).alias("class"), "chance",
+        F.when(strong == HAND, F.lit("house notice")).when(strong.isNotNull(), F.lit("notice or name")).otherwise(F.lit("forest")).alias("by"),
         F.col("guess").alias("forest_class"), "notice", "named")
 
 

@@ -323,3 +323,21 @@ def test_forest_finds_unlabelled_files(spark):
     assert sum((f in got) == (f in want) for f in held) / len(held) >= 0.9
     assert "m/n.go" not in got
     assert sourceclass.classify(df.limit(0), "x").count() == 0
+
+
+def test_forest_decides_seen_content(spark):
+    house = "Kestrel Orchard Works"
+    assert sourceclass.notice("// Made from the x template: do not modify the template.\n// This file is maintained by hand.\npackage a", house) == sourceclass.HAND
+    assert sourceclass.notice("// Code generated by x; this file is not maintained by hand.\npackage a", house) == sourceclass.GENERATED
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9)))
+    own = "// Copyright 2025 Kestrel Orchard Works.\n"
+    hand = lambda: "\n".join(rnd.choice([f"\tif {word()} == nil {{", f"\t{word()} := {word()}({word()})", f"// {word()} {word()}", "\t}", f'\treturn fmt.Errorf("{word()}")']) for _ in range(25))
+    packed = lambda: "".join(f"function a(b){{return b[{rnd.randrange(99999)}]+c}}" for _ in range(30))
+    rows = [(f"m/h{i}.go", own + hand(), 26, 1200) for i in range(60)] + [(f"m/p{i}.min.js", packed(), 1, 90000) for i in range(60)]
+    rows += [("m/order_data.go", hand(), 26, 1200), ("m/gen/helper.go", own + hand(), 26, 1200), ("m/banner.js", own + packed(), 1, 90000),
+             ("m/vendor/x/a.go", hand(), 26, 1200), ("m/made.go", "// Code generated by x. DO NOT EDIT.\n" + hand(), 26, 1200), ("m/blind.pb.go", None, 26, 1200)]
+    df = spark.createDataFrame(rows, "file string, head string, n_lines int, n_bytes long")
+    got = {r.file for r in sourceclass.found(sourceclass.classify(df, house)).collect()}
+    assert not got & {"m/order_data.go", "m/gen/helper.go"}
+    assert got >= {"m/banner.js", "m/vendor/x/a.go", "m/made.go", "m/blind.pb.go"}
