@@ -60,8 +60,34 @@ def dedup_layer_copies(found: DataFrame, symbols: DataFrame) -> DataFrame:
             .filter("r = 1").select("target", "id", F.when(F.col("copies") > 1, F.concat(F.lit("+"), F.col("copies") - 1, F.lit(" copies"))).otherwise(F.lit("")).alias("why")))
 
 
+def _field_references(fields: DataFrame, symbols: DataFrame, n: int = 15) -> DataFrame:
+    """field, id: of every field and pattern ('GetX(', '.X', 'X:', in any case) the n earliest bodies that hold it.
+
+    fields: field, go. A pattern is a name at the end or beginning of a run of word letters, so
+    the runs are taken out of the bodies once, cut to the n earliest bodies of each, and met with
+    the names at their ends by equality.
+    """
+    run, low = r"(?<![a-z0-9_])([a-z0-9_]++)", F.lower("body")
+    runs = F.concat(*[F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(p), F.lit(1))), lambda t: F.struct(F.lit(k).alias("pattern"), t.alias("run")))
+                      for k, p in (("call", run + r"\("), ("access", r"\.([a-z0-9_]++)"), ("literal", run + ":"))])
+    code = symbols.filter(F.col("kind").isin("func", "method")).select("id", "seq", F.explode(runs).alias("r")).select("id", "seq", "r.pattern", "r.run")
+    code = first_per(code, ["pattern", "run"], ["seq", "id"], n).drop("pos")
+    go = F.lower("go")
+    names = fields.filter("go <> ''").select("field", F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), x.alias("part")) for k, x in (
+        ("call", F.concat(F.lit("get"), go)), ("access", go), ("literal", go))])).alias("p")).select("field", "p.pattern", "p.part")
+    wanted = names.select("pattern", "part").distinct()
+    most = wanted.agg(F.coalesce(F.max(F.length("part")), F.lit(0)).alias("most"))  # one row
+    width = F.least(F.length("run"), F.col("most"))
+    ends = F.transform(F.sequence(F.lit(1), width), lambda k: F.when(F.col("pattern") == "access", F.substring(F.col("run"), F.lit(1), k)).otherwise(F.right("run", k)))
+    parts = code.select("pattern", "run").distinct().crossJoin(F.broadcast(most)).filter("most > 0").select("pattern", "run", F.explode(ends).alias("part"))
+    held = parts.join(wanted, ["pattern", "part"]).join(code, ["pattern", "run"]).select("pattern", "part", "id", "seq").distinct()
+    first = first_per(held, ["pattern", "part"], ["seq", "id"], n).select("pattern", "part", "id")
+    return names.join(first, ["pattern", "part"]).select("field", "id").distinct()
+
+
 def field_impact(symbols: DataFrame) -> DataFrame:
-    """field, id, why: the message that declares a field and the getters generated for it."""
+    """field, id, why: the message that declares a field, the getters generated for it, and bodies
+    that call a getter, access the field or name it in a literal; the first of these counts."""
     f = symbols.filter("kind = 'field'").select(F.col("id").alias("field"), text.parent_id(F.col("id")).alias("message"), text.go_field_name(F.col("name")).alias("go"))
     messages = symbols.select(F.col("id").alias("message"), F.col("name").alias("message_name"))
     declared = f.join(messages, "message", "left")
@@ -69,7 +95,9 @@ def field_impact(symbols: DataFrame) -> DataFrame:
     getters = symbols.filter("kind = 'method' and name like 'Get%'").select("id", "name")
     mine = declared.join(getters, F.concat(F.lit("Get"), F.col("go")) == F.col("name")).filter(
         F.col("message_name").isNull() | F.contains("id", F.concat(F.lit("."), F.col("message_name"), F.lit("."))))
-    return declaring.unionByName(mine.select("field", "id", F.lit("generated getter").alias("why")))
+    found = declaring.unionByName(mine.select("field", "id", F.lit("generated getter").alias("why")))
+    refs = _field_references(f.select("field", "go"), symbols).filter("id <> field").join(found.select("field", "id"), ["field", "id"], "left_anti")
+    return found.unionByName(refs.join(f.select("field", "go"), "field").select("field", "id", F.concat(F.lit("references "), F.col("go"), F.lit(" (heuristic)")).alias("why")))
 
 
 def gaps(symbols: DataFrame) -> DataFrame:

@@ -201,6 +201,17 @@ def test_field_impact(spark):
     assert {r.id for r in reports.field_impact(s).collect()} == {"p.v1.ShipmentLeg", "g.ShipmentLeg.GetPickupTime"}
 
 
+def test_field_references(spark):
+    rows = [sym(1, "p.v1.Leg", "message"), sym(2, "p.v1.Leg.pickup_time", "field"), sym(3, "g.Leg.GetPickupTime", "method", body="return x.PickupTime"), sym(4, "p.v1.Leg.x_y", "field")]
+    rows += [sym(5, "a.Call", body="v := m.GetPickupTime()"), sym(6, "a.Lit", body="Leg{PickupTime: 1}"), sym(7, "a.None", body="PickupTime GetPickupTime"), sym(8, "a.Var", "var", body="x.PickupTime"),
+             sym(9, "a.Near", "method", body="m.pickupTimeZone")] + [sym(30 - i, f"b.F{i:02}", body=f"y{i}.pickupTime") for i in range(20)]
+    got = [(r.field, r.id, r.why) for r in reports.field_impact(symbols(spark, *rows)).collect()]
+    refs = {i for f, i, w in got if f == "p.v1.Leg.pickup_time" and w == "references PickupTime (heuristic)"}
+    # of the access 15 by seq: the getter (once, as such), a.Call (by its own pattern), a.Near and b.F19, b.F18, ...
+    assert refs == {"a.Call", "a.Lit", "a.Near"} | {f"b.F{i:02}" for i in range(7, 20)}
+    assert len(got) == len({g[:2] for g in got}) and not any(f.endswith("x_y") and w.startswith("ref") for f, _, w in got)
+
+
 def test_upsert(spark):
     base = symbols(spark, sym(1, "a.A", docstring="d", embedding=[1.0], embedding_model="m"), sym(2, "a.B", docstring="d", embedding=[1.0], embedding_model="m"), sym(3, "a.C"))
     change = symbols(spark, sym(4, "a.A", "method", docstring="d", signature="func A()", line_start=9), sym(5, "a.B", docstring="other"), sym(6, "a.D"))
