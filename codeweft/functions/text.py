@@ -65,6 +65,11 @@ def call_idents(body: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.rlike("^[A-Z]")))
 
 
+def called_names(body: Column) -> Column:
+    """All names that are followed by a parenthesis, exported or not."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z0-9_]+)[ \t]*\("), F.lit(1)))
+
+
 def type_idents(body: Column) -> Column:
     """Capitalised words with a small letter that may name types."""
     found = F.regexp_extract_all(body, F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]{2,})"), F.lit(1))

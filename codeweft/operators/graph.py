@@ -8,6 +8,9 @@ from codeweft.functions import scoring as sc, text
 from codeweft.operators.lookup import first_per
 from codeweft.session import checkpointed
 
+#: Bytes of a name from which bodies that only hold it count as callers.
+MENTION = 6
+
 
 def of_kind(edges: DataFrame, kind: str) -> DataFrame:
     return edges.filter(F.col("kind") == kind).select("from_id", "to_id")
@@ -27,28 +30,77 @@ def neighbours(edges: DataFrame, symbols: DataFrame, kind: str, towards: str) ->
     return e.select(F.col(a).alias("id"), F.col(b).alias("other"))
 
 
-def body_callers(symbols: DataFrame) -> DataFrame:
+def body_callers(symbols: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """id, other: functions whose body calls the name of a symbol, other than itself.
 
     The names a body calls are taken out once and joined by equality, in place of a search
-    of every body for every name. Ten of each name, the earliest, are meant by it.
+    of every body for every name. targets: the symbols (id, name) asked for; all if not given.
     """
     code = symbols.filter(F.col("kind").isin("func", "method"))
-    calls = code.select(F.col("id").alias("other"), F.explode(text.call_idents(F.col("body"))).alias("name"))
-    named = first_per(symbols.select("id", "name", "seq"), ["name"], ["seq"], 10).select("id", "name")
+    calls = code.select(F.col("id").alias("other"), F.explode(text.called_names(F.col("body"))).alias("name"))
+    named = (symbols if targets is None else targets).select("id", "name")
     return calls.join(named, "name").filter("id <> other").select("id", "other").distinct()
 
 
+def body_mentions(symbols: DataFrame, targets: DataFrame, n: int = 15) -> DataFrame:
+    """id, other: of the n earliest functions whose body holds a target's name, in any case, those other than itself.
+
+    targets: id, name. Names of fewer than MENTION bytes find nothing. Runs of word letters
+    are taken out of the bodies once and cut to the n earliest bodies of each; a run holds a
+    name if the two share the name's first letters, and then the whole is compared. A name that
+    holds anything else is looked for in the texts between white space.
+    """
+    named = targets.filter(F.octet_length("name") >= MENTION).select("id", F.lower("name").alias("low"))
+    plain = F.col("low").rlike(r"^[\p{L}\p{M}\p{N}_]+$")
+    code = symbols.filter(F.col("kind").isin("func", "method")).select("id", "seq", F.lower("body").alias("low"))
+
+    def holding(names: DataFrame, run: str) -> DataFrame:
+        runs = code.select(F.col("id").alias("other"), "seq", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(run), F.lit(0)))).alias("run"))
+        runs = first_per(runs, ["run"], ["seq", "other"], n).drop("pos")
+        size = F.least(F.length("low"), F.lit(MENTION))
+        wanted = names.select("low").distinct().withColumn("gram", F.substring(F.col("low"), F.lit(1), size))
+        grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MENTION)), lambda k: F.when(F.length("run") >= k, F.transform(
+            F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring(F.col("run"), i, k))).otherwise(F.array().cast("array<string>")))))
+        short = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - (MENTION - 1)), lambda i: F.substring(F.col("run"), i, F.lit(MENTION))))
+        # names of MENTION bytes have that many letters, but for those outside ASCII
+        met = runs.select("run").distinct().filter(F.octet_length("run") >= MENTION).select("run", F.explode(
+            F.when(F.length("run") == F.octet_length("run"), short).otherwise(grams)).alias("gram"))
+        hits = met.join(wanted, "gram").filter(F.contains("run", "low")).select("run", "low")
+        return hits.join(runs, "run").select("low", "other", "seq").distinct()
+
+    held = holding(named.filter(plain), r"[\p{L}\p{M}\p{N}_]+")
+    if not symbols.select(F.lower("name").alias("low")).filter(~plain).isEmpty():
+        held = held.unionByName(holding(named.filter(~plain), r"\S+"))
+    first = first_per(held, ["low"], ["seq", "other"], n).select("low", "other")
+    return named.join(first, "low").filter("id <> other").select("id", "other")
+
+
 def tiered_callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """id, other, tier, why: direct callers; else what it implements; else bodies that call its name."""
+    """id, other, tier, why: direct callers; else what it implements; else bodies that call its
+    name; else, for names of 6 or more bytes, bodies that hold it."""
     direct = neighbours(edges, symbols, "calls", "callers").select("id", "other", F.lit(1).alias("tier"), F.lit("direct caller").alias("why"))
     impl = neighbours(edges, symbols, "implements", "callees").join(
         symbols.select(F.col("id").alias("other"), F.col("kind").alias("other_kind"), "signature"), "other")
     entry = impl.select("id", "other", F.lit(2).alias("tier"), F.when(
         F.col("other_kind") == "rpc", F.concat(F.lit("gRPC entry point: "), F.col("signature"))).otherwise("implements interface").alias("why"))
-    called = body_callers(symbols).select("id", "other", F.lit(3).alias("tier"), F.lit("body reference (heuristic)").alias("why"))
-    every = direct.unionByName(entry).unionByName(called)
-    return every.withColumn("least", F.min("tier").over(Window.partitionBy("id"))).filter("tier = least").drop("least")
+    linked = direct.unionByName(entry)
+    left = symbols.select("id", "name").join(linked.select("id"), "id", "left_anti")
+    calling = checkpointed(body_callers(symbols, left))
+    called = calling.select("id", "other", F.lit(3).alias("tier"), F.lit("body reference (heuristic)").alias("why"))
+    held = body_mentions(symbols, left.join(calling.select("id"), "id", "left_anti")).select(
+        "id", "other", F.lit(4).alias("tier"), F.lit("body reference (non-call)").alias("why"))
+    every = linked.withColumn("least", F.min("tier").over(Window.partitionBy("id"))).filter("tier = least").drop("least")
+    return every.unionByName(called).unionByName(held)
+
+
+def tiered_callees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """id, other, tier, why: direct callees; else the ten earliest symbols of every exported name the body calls."""
+    direct = neighbours(edges, symbols, "calls", "callees").select("id", "other", F.lit(1).alias("tier"), F.lit("direct callee").alias("why"))
+    left = symbols.select("id", "body").join(direct.select("id"), "id", "left_anti")
+    names = left.select("id", F.explode(text.call_idents(F.col("body"))).alias("name"))
+    named = first_per(symbols.select(F.col("id").alias("other"), "name", "seq"), ["name"], ["seq"], 10).select("other", "name")
+    called = names.join(named, "name").filter("id <> other").select("id", "other").distinct()
+    return direct.unionByName(called.select("id", "other", F.lit(2).alias("tier"), F.lit("body reference (heuristic)").alias("why")))
 
 
 def flow(edges: DataFrame, symbols: DataFrame) -> DataFrame:

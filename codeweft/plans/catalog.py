@@ -234,7 +234,7 @@ def graph_callers(spark, sf_dir):
 
 @query
 def graph_callees(spark, sf_dir):
-    return graph.neighbours(index.edges(spark, sf_dir), index.symbols(spark, sf_dir), "calls", "callees")
+    return graph.tiered_callees(index.edges(spark, sf_dir), index.symbols(spark, sf_dir)).select("id", "other")
 
 
 @query

@@ -142,6 +142,20 @@ def test_tiered_callers(spark):
     assert ("a.Target", "b.Uses", 3) in rows and ("d.Impl", "c.Iface", 2) in rows
 
 
+def test_all_tiers(spark):
+    s = symbols(spark, sym(1, "a.helper", body="func helper() {}"), *[sym(i, f"m{i}.Same", "method", body="") for i in range(2, 14)], sym(20, "b.uses", body="x := helper(1); y.Same(2)"),
+                sym(21, "c.QueryDocument", "const"), sym(22, "d.page", body="useQuery(x_querydocument2)"), sym(23, "e.Short", "const"), sym(24, "f.\u00e9t\u00e9s", "const"),
+                sym(25, "g.other", body="z = \u00e9t\u00e9s + Short"), sym(26, "h.linked", body="Same(1)"), sym(27, "i.x-longer", "var", name="x-longer"), sym(28, "j.k", body="a x-longer"))
+    e = spark.createDataFrame([("h.linked", "a.helper", "uses_type"), ("h.linked", "d.page", "calls")], "from_id string, to_id string, kind string")
+    assert {(r.id, r.other) for r in graph.body_callers(s).collect()} >= {("a.helper", "b.uses")} | {(f"m{i}.Same", "b.uses") for i in range(2, 14)}
+    rows = {(r.id, r.other, r.tier) for r in graph.tiered_callers(e, s).collect()}
+    assert {("a.helper", "b.uses", 3), ("c.QueryDocument", "d.page", 4), ("f.\u00e9t\u00e9s", "g.other", 4), ("i.x-longer", "j.k", 4), ("d.page", "h.linked", 1)} <= rows
+    assert not any(r[0] == "e.Short" for r in rows) and all(r[0] != r[1] for r in rows)
+    callees = {(r.id, r.other, r.tier) for r in graph.tiered_callees(e, s).collect()}
+    assert ("h.linked", "d.page", 1) in callees and {r[1] for r in callees if r[0] == "b.uses"} == {f"m{i}.Same" for i in range(2, 12)}
+    assert not any(r[0] == "h.linked" and r[2] == 2 for r in callees)
+
+
 def test_relink(spark):
     s = symbols(spark, sym(1, "v1.Svc.Confirm", "rpc"), sym(2, "handlers.H.Confirm", "method"), sym(3, "app/svc.S.Confirm", "method"), sym(4, "x.I", "interface"))
     e = spark.createDataFrame([("handlers.H.Confirm", "v1.Svc.Confirm", "implements"), ("handlers.H.Confirm", "x.I", "implements")], "from_id string, to_id string, kind string")
