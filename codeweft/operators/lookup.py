@@ -42,15 +42,24 @@ def names_containing(symbols: DataFrame, needles: DataFrame, n: int = 25) -> Dat
     Instead of comparing every needle with every name, names are cut into runs of GRAM
     letters and met with the needles that begin with that run; then the whole is compared.
     Case does not count within, but a name that differs from the needle only by case counts.
-    Needles shorter than GRAM find nothing.
+    Needles shorter than GRAM are met with runs of their own length.
     """
     low = F.lower(F.col("name"))
-    positions = F.sequence(F.lit(1), F.greatest(F.length("name") - (GRAM - 1), F.lit(1)))
-    names = (symbols.filter(F.length("name") >= GRAM)
-             .select("id", "name", F.explode(F.array_distinct(F.transform(positions, lambda i: F.substring(low, i, F.lit(GRAM))))).alias("gram")))
-    wanted = needles.filter(F.length("needle") >= GRAM).select("needle", F.substring(F.lower("needle"), 1, GRAM).alias("gram")).distinct()
-    hits = names.join(wanted, "gram").filter(F.contains(low, F.lower("needle")) & (F.col("name") != F.col("needle")))
-    return first_per(hits.select("needle", "id", "name"), ["needle"], [F.length("name"), "id"], n)
+
+    def runs(size: int):
+        positions = F.sequence(F.lit(1), F.greatest(F.length(low) - (size - 1), F.lit(1)))
+        return F.array_distinct(F.transform(positions, lambda i: F.substring(low, i, F.lit(size))))
+
+    wanted = needles.filter("needle <> ''").select("needle", F.substring(F.lower("needle"), 1, GRAM).alias("gram")).distinct()
+    long = symbols.filter(F.length(low) >= GRAM).select("id", "name", F.explode(runs(GRAM)).alias("gram"))
+    hits = long.join(wanted.filter(F.length("gram") >= GRAM), "gram").filter(F.contains(low, F.lower("needle")) & (F.col("name") != F.col("needle")))
+    every = hits.select("needle", "id", "name")
+    short = wanted.filter(F.length("gram") < GRAM)
+    for size in (r["size"] for r in short.select(F.length("gram").alias("size")).distinct().collect()):  # at most GRAM - 1
+        part = symbols.filter(F.length(low) >= size).select("id", "name", F.explode(runs(size)).alias("gram"))
+        met = part.join(short.filter(F.length("gram") == size), "gram").filter(F.col("name") != F.col("needle"))
+        every = every.unionByName(met.select("needle", "id", "name"))
+    return first_per(every, ["needle"], [F.length("name"), "id"], n)
 
 
 def best_candidate_score(package, query):

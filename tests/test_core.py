@@ -175,6 +175,15 @@ def test_names_containing(spark):
     assert [(r.needle, r.id) for r in lookup.names_containing(s, n).collect()] == [("ConfirmTransportOrder", "p.Sheet_confirmtransportorderDocument")]
 
 
+def test_short_needles(spark):
+    s = symbols(spark, sym(1, "p.LoadFerry"), sym(2, "p.ferryman"), sym(3, "p.Ferry"), sym(4, "p.ab"), sym(5, "p.xABy"), *[sym(10 + i, f"p.Winch{i:02}") for i in range(30)])
+    n = spark.createDataFrame([("Ferry",), ("ab",), ("Winch",), ("b",), ("",)], "needle string")
+    got = [(r.needle, r.id) for r in lookup.names_containing(s, n).collect()]
+    assert sorted(i for q, i in got if q == "Ferry") == ["p.LoadFerry", "p.ferryman"] and {i for q, i in got if q == "ab"} == {"p.xABy"}
+    assert {i for q, i in got if q == "b"} == {"p.ab", "p.xABy"} and [i for q, i in got if q == "Winch"] == [f"p.Winch{i:02}" for i in range(25)]
+    assert not any(q == "" for q, _ in got)
+
+
 def test_any_term_takes_earliest(spark):
     s = symbols(spark, *[sym(i, f"p.Name{i}", docstring="common" if i % 2 else "rare common") for i in range(1, 30)])
     q = spark.createDataFrame([(1, ["common", "rare"]), (2, ["rare"]), (3, [])], "query long, terms array<string>")
