@@ -253,8 +253,8 @@ def graph_flow(spark, sf_dir):
 
 
 def _roots(s):
-    """Starts of a traversal, a group each: interfaces."""
-    return s.filter("kind = 'interface'").select(F.col("id").alias("query"), "id")
+    """Starts of a traversal, a group each: all symbols."""
+    return s.select(F.col("id").alias("query"), "id")
 
 
 @query
@@ -390,23 +390,28 @@ def vector_unembedded(spark, sf_dir):
 # reports
 
 
+def _targets(s):
+    """What a change may start from: all symbols but fields, which have impact_field."""
+    return s.filter("kind <> 'field'")
+
+
 @query
 def impact_generic(spark, sf_dir):
     s = index.symbols(spark, sf_dir)
-    return reports.impact(s.filter(F.col("kind").isin("rpc", "interface", "service")), s, index.edges(spark, sf_dir)).select("target", "id", "branch")
+    return reports.impact(_targets(s), s, index.edges(spark, sf_dir)).select("target", "id", "branch")
 
 
 @query
 def impact_layers(spark, sf_dir):
     s = index.symbols(spark, sf_dir)
-    found = reports.impact(s.filter(F.col("kind").isin("rpc", "interface", "service")), s, index.edges(spark, sf_dir))
+    found = reports.impact(_targets(s), s, index.edges(spark, sf_dir))
     return reports.impact_layers(found, s)
 
 
 @query
 def impact_generated_copies(spark, sf_dir):
     s = index.symbols(spark, sf_dir)
-    found = reports.impact(s.filter(F.col("kind").isin("rpc", "interface", "service")), s, index.edges(spark, sf_dir))
+    found = reports.impact(_targets(s), s, index.edges(spark, sf_dir))
     return reports.dedup_layer_copies(found, s)
 
 

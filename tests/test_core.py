@@ -219,6 +219,19 @@ def test_gaps_and_impact(spark):
     assert hit == {("x.S.A", 1), ("v.AReq", 2), ("x.S.B", 5)}
 
 
+def test_every_kind_is_target_and_root(spark, tmp_path):
+    from codeweft.plans import catalog
+
+    s = symbols(spark, sym(1, "a.F", body="x"), sym(2, "b.M", "method", body="F(1)"), sym(3, "c.S", "struct"), sym(4, "c.S.x", "field"), sym(5, "d.S", "type"))
+    s.write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.createDataFrame([], "id string, file string, deleted_at timestamp").write.parquet(f"{tmp_path}/symbol_deletes.parquet")
+    spark.createDataFrame([("b.M", "a.F", "calls")], "from_id string, to_id string, kind string").write.parquet(f"{tmp_path}/edges.parquet")
+    rows = {name: {(r[0], r[1]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("impact_generic", "graph_expand_1", "graph_expand_2")}
+    assert rows["impact_generic"] == {("a.F", "b.M"), ("c.S", "d.S"), ("d.S", "c.S")}
+    assert rows["graph_expand_1"] == rows["graph_expand_2"] == {("a.F", "b.M"), ("b.M", "a.F")}
+    assert {r.root for r in catalog.QUERIES["graph_viz_edges"](spark, str(tmp_path)).collect()} == {"a.F", "b.M"}
+
+
 def test_field_impact(spark):
     s = symbols(spark, sym(1, "p.v1.ShipmentLeg", "message"), sym(2, "p.v1.ShipmentLeg.pickup_time", "field"), sym(3, "g.ShipmentLeg.GetPickupTime", "method"), sym(4, "g.Visit.GetPickupTime", "method"))
     assert {r.id for r in reports.field_impact(s).collect()} == {"p.v1.ShipmentLeg", "g.ShipmentLeg.GetPickupTime"}
