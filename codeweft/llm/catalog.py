@@ -78,7 +78,8 @@ def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.coverage(p6_intervals(spark, sf_dir), table(spark, sf_dir, "symbols"))
+    s = table(spark, sf_dir, "symbols")
+    return spans.coverage(p6_intervals(spark, sf_dir), s, current=s.groupBy("id").agg(F.max("seq").alias("seq")))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

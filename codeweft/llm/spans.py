@@ -232,8 +232,13 @@ def intervals(shared: DataFrame, key: str = "seq", least: int = LEAST) -> DataFr
     )
 
 
-def coverage(spans: DataFrame, rows: DataFrame, key: str = "seq", text: str = "body") -> DataFrame:
-    """key, shared (characters in shared spans), chars, share."""
+def coverage(spans: DataFrame, rows: DataFrame, key: str = "seq", text: str = "body", current: DataFrame | None = None) -> DataFrame:
+    """key, shared (characters in shared spans), chars, share: of the records of ``current``, 0
+    where nothing is shared; where it is not given, of those that share something."""
     per = spans.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
     lengths = rows.groupBy(key).agg(F.max(F.length(text)).alias("chars"))
-    return per.join(lengths, key).select(key, "shared", "chars", (F.col("shared") / F.col("chars")).alias("share"))
+    if current is None:
+        return per.join(lengths, key).select(key, "shared", "chars", (F.col("shared") / F.col("chars")).alias("share"))
+    every = current.select(key).distinct().join(lengths, key, "left").join(per, key, "left").withColumns({
+        "shared": F.coalesce("shared", F.lit(0).cast("long")), "chars": F.coalesce("chars", F.lit(0))})
+    return every.select(key, "shared", "chars", F.when(F.col("chars") > 0, F.col("shared") / F.col("chars")).otherwise(F.lit(0.0)).alias("share"))

@@ -246,6 +246,13 @@ def test_spans_against_brute_force(spark):
     assert spans.shared_windows(df.limit(0), df.select("seq")).count() == 0
 
 
+def test_coverage_of_records_that_share_nothing(spark):
+    rows = spark.createDataFrame([(1, "x" * 10), (2, "y" * 20), (3, ""), (4, None), (5, "old")], "seq long, body string")
+    found = spark.createDataFrame([(1, 0, 4), (1, 6, 7)], "seq long, start int, end int")
+    got = {r.seq: (r.shared, r.chars, r.share) for r in spans.coverage(found, rows, current=rows.filter("seq < 5")).collect()}
+    assert got == {1: (5, 10, 0.5), 2: (0, 20, 0.0), 3: (0, 0, 0.0), 4: (0, 0, 0.0)}
+
+
 def test_repeated_values_hot_and_cold(spark):
     rnd = random.Random(8)
     rows = [(7, rnd.randrange(50), i) for i in range(300)] + [(8, 1, i) for i in range(200)] + [(rnd.randrange(100, 400), rnd.randrange(40), i) for i in range(400)]
