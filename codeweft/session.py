@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place the cluster shares; a temporary one only where it names none (tests)."""
+    """A new folder in the place the cluster shares; a temporary one only where it names none and
+    all runs on one machine (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="codeweft-")
         sc.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -45,3 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``checkpointed`` wrote and that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
