@@ -1,9 +1,8 @@
 """Most similar vectors for every vector: a neighbour graph by NN-descent.
 
-The graph starts from a forest of random hyperplane trees (rows that share a leaf are
-compared by matrix products) and is refined by joining neighbours of neighbours until few
-edges change. Vectors travel as one signed byte per dimension; the final similarities are
-computed from the vectors themselves.
+From a light start (a fixed, small number of random-hyperplane trees) the graph is refined in
+rounds that join neighbours of neighbours until nothing new is found. Vectors travel as four
+or eight bits a dimension; pairs that are reported are checked on the vectors themselves.
 """
 
 from __future__ import annotations
@@ -14,15 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codeweft.session import checkpointed
+from codeweft.session import checkpointed, forget
 
 DIMENSIONS = 64
 NEIGHBOURS = 10
-LEAF = 1_500
-#: Rows from which the planes' medians are taken (only the balance of the leaves depends on it).
-SAMPLE_ROWS = 20_000
-MISS = 0.02
-ROUNDS, LEAST_CHANGE = 4, 0.001
+#: The start: trees, rows compared with one another in each, and edges kept of each.
+TREES, LEAF, STARTED = 3, 256, 6
+#: Neighbours kept of every node, more than are asked for; those of them that meet at a node, each way.
+KEPT, BEST = 14, 3
+ROUNDS, LEAST_CHANGE = 8, 0.01
 #: What rounding to four bits may take from a similarity.
 SLACK = 0.05
 SEED = 5
@@ -65,6 +64,7 @@ def unit_codes(rows: DataFrame, key: str, model: str, vector: str, bits: int = 4
 
 
 def _matrix(column) -> np.ndarray:
+    """The codes of a column as whole numbers in float32."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -79,102 +79,112 @@ def _matrix(column) -> np.ndarray:
         x = np.empty((n, 2 * q.shape[1]), dtype=np.float32)
         x[:, ::2], x[:, 1::2] = q >> 4, q & 15
         x -= 8
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
-def trees_needed(n: int, least: float, leaf: int = LEAF, miss: float = MISS) -> tuple[int, int]:
-    """Depth of the trees over n rows, and how many of them leave a pair of similarity
-    ``least`` apart in all trees with a chance of at most ``miss``."""
-    depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
-    together = (1 - math.acos(min(1.0, least)) / math.pi) ** depth
-    return depth, 1 if together >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - together)))
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Reciprocal lengths. Products of codes are whole numbers that float32 holds exactly, so the
+    similarity of two rows is the same wherever and in whichever order they meet."""
+    return (1 / np.sqrt((x * x).sum(axis=-1))).astype(np.float32)
 
 
-def leaves(codes: DataFrame, key: str, plan: dict[str, tuple[int, int, int, np.ndarray, np.ndarray]]) -> DataFrame:
-    """bucket, key, code: every row once per tree of its model. A bucket is one leaf of one
-    tree of one model: the number of the tree above, 40 bits of the leaf below."""
+def _sorted_batches(batches, by: int, most: int | None = None):
+    """Batches anew, cut so that no group of equal values in column ``by`` is divided. Rows come
+    sorted by it; of a group at least the first ``most`` stay together, all if it is not given."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        values = batch.column(by).to_numpy()
+        last = int(np.searchsorted(values, values[-1], "left"))
+        if last:
+            yield batch.slice(0, last)
+        rest = batch.slice(last) if most is None else batch.slice(last, most)
+    if rest is not None:
+        yield rest
+
+
+def placed(codes: DataFrame, key: str, n: int, dimensions: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """tree, m (hash of the model), cell, along, key, code: every row once per tree. A tree is some random planes
+    through the origin (their signs are the cell; as many as make cells of about ``leaf`` rows)
+    and one more direction, along which the rows of a cell are ordered."""
+    depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
+    planes = np.random.default_rng(SEED).standard_normal((dimensions, trees * (depth + 1))).astype(np.float32)
 
     def run(batches):
         for batch in batches:
-            models = np.array(batch.column(1).to_pylist(), dtype=object)
-            for m in set(models):
-                number, depth, trees, planes, middle = plan[m]
-                part = batch.take(pa.array(np.flatnonzero(models == m)))
-                n = len(part)
-                bits = (_matrix(part.column(2)) @ planes > middle).reshape(n, trees, depth)
-                leaf = (bits * (1 << np.arange(depth, dtype=np.int64))).sum(axis=2) if depth else np.zeros((n, trees), np.int64)
-                for t in range(trees):
-                    bucket = (np.int64(number + t) << 40) + leaf[:, t].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0), part.column(2)], names=["bucket", key, "code"])
-
-    return codes.select(key, "model", "code").mapInArrow(run, f"bucket long, `{key}` long, code binary")
-
-
-def _leaf_edges(key: str, k: int, floor: float):
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column(key).to_numpy()
-        x = _matrix(t.column("code"))
-        src, dst, sim = [], [], []
-        for at in range(0, len(x), 512):
-            s = x[at:at + 512] @ x.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2.0
-            if floor <= -1 and s.shape[1] > 2 * k:  # no floor: only the k best can matter
-                j = np.argpartition(-s, k, axis=1)[:, :k].ravel()
-                i = np.repeat(np.arange(len(s)), k)
-            else:
-                i, j = np.nonzero(s >= max(floor, -1.5))
-            v = s[i, j]
-            if len(i) > k * len(s):
-                order = np.lexsort((ids[j], -v, i))
-                i, j, v = i[order], j[order], v[order]
-                first = np.searchsorted(i, i)
-                top = np.arange(len(i)) - first < k
-                i, j, v = i[top], j[top], v[top]
-            src.append(ids[i + at])
-            dst.append(ids[j])
-            sim.append(v)
-        return pa.table({"src": pa.array(np.concatenate(src), pa.int64()), "dst": pa.array(np.concatenate(dst), pa.int64()),
-                         "sim": pa.array(np.concatenate(sim).astype(np.float32), pa.float32())})
+            if not len(batch):
+                continue
+            at = (_matrix(batch.column(2)) @ planes).reshape(len(batch), trees, depth + 1)
+            cell = ((at[:, :, :depth] > 0) * (1 << np.arange(depth, dtype=np.int64))).sum(axis=2).astype(np.int64)
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(batch), t, np.int32)), batch.column(1), pa.array(cell[:, t]),
+                    pa.array(at[:, t, depth]), batch.column(0), batch.column(2)], names=["tree", "m", "cell", "along", key, "code"])
+
+    return codes.select(key, F.xxhash64("model").alias("m"), "code").mapInArrow(
+        run, f"tree int, m long, cell long, along float, `{key}` long, code binary")
+
+
+def _block_edges(k: int, leaf: int):
+    """Candidates of every row: the k nearest of its block, which is up to ``leaf`` consecutive
+    rows of one tree and model."""
+
+    def run(batches):
+        for batch in _blocks(batches, leaf):
+            ids, x = batch.column(4).to_numpy(), _matrix(batch.column(5))
+            u = _unit(x)
+            s = (x @ x.T) * (u[:, None] * u[None, :])
+            np.fill_diagonal(s, -2.0)
+            k_ = min(k, len(x) - 1)
+            if k_ < 1:
+                continue
+            j = np.argpartition(-s, k_ - 1, axis=1)[:, :k_].ravel()
+            i = np.repeat(np.arange(len(x)), k_)
+            yield _candidates(ids[i], ids[j], s[i, j], np.zeros(len(i), np.int8))
 
     return run
 
 
+def _blocks(batches, leaf: int):
+    """Runs of at most ``leaf`` rows of one tree and one model, in the order in which they come."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        tree, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((tree[1:] != tree[:-1]) | (m[1:] != m[:-1])) + 1, [len(batch)]])
+        rest = None
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            while b - a > leaf:
+                yield batch.slice(a, leaf)
+                a += leaf
+            if b == len(batch):
+                rest = batch.slice(a, b - a)
+            else:
+                yield batch.slice(a, b - a)
+    if rest is not None:
+        yield rest
+
+
 def _nearest(edges: DataFrame, by: str, other: str, k: int) -> DataFrame:
     """The k most similar edges of every node; ties by the lesser key."""
     w = Window.partitionBy(by).orderBy(F.desc("sim"), other)
     return edges.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")
 
 
-def _forest_edges(codes: DataFrame, key: str, k: int, floor: float, least: float, leaf: int, miss: float = MISS) -> DataFrame:
-    sizes = {r["model"]: r["n"] for r in codes.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per model
-    share = min(1.0, SAMPLE_ROWS / max(1, sum(sizes.values())))
-    sample = _matrix(pa.table({"c": pa.array([r[0] for r in codes.select("code").sample(False, share, SEED).limit(2 * SAMPLE_ROWS).collect()] or [b"\x99" * (DIMENSIONS // 2)], pa.binary())}).column("c"))
-    draw = np.random.default_rng(SEED)
-    plan, number = {}, 0
-    for m in sorted(sizes):
-        depth, trees = trees_needed(sizes[m], least, leaf, miss)
-        planes = draw.standard_normal((sample.shape[1], depth * trees)).astype(np.float32)
-        plan[m] = number, depth, trees, planes, np.median(sample @ planes, axis=0) if depth else np.zeros(0, np.float32)
-        number += trees
-    placed = leaves(codes, key, plan)
-    # leaves that came out too large are compared in random pieces, other pieces in each tree
-    full = (leaves(codes, key, plan).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf)
-            .select("bucket", F.ceil(F.col("n") / (2 * leaf)).alias("pieces")))
-    by = ["bucket"]
-    if not full.isEmpty():
-        placed = placed.join(full, "bucket", "left").withColumn(
-            "piece", F.coalesce(F.pmod(F.xxhash64(key, "bucket"), F.col("pieces")), F.lit(0)).cast("long")).drop("pieces")
-        by = ["bucket", "piece"]
-    return placed.groupBy(*by).applyInArrow(_leaf_edges(key, k, floor), "src long, dst long, sim float")
-
-
 def _similar(pairs: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     """src, dst, sim of pairs of one model."""
 
     def run(batches):
         for b in batches:
             if len(b):
-                s = (_matrix(b.column(2)) * _matrix(b.column(3))).sum(axis=1)
+                x, y = _matrix(b.column(2)), _matrix(b.column(3))
+                s = (x * y).sum(axis=1) * (_unit(x) * _unit(y))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32))], names=["src", "dst", "sim"])
 
     a = codes.select(F.col(key).alias("src"), F.col("code").alias("ca"))
@@ -182,50 +192,205 @@ def _similar(pairs: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "ca", "cb").mapInArrow(run, "src long, dst long, sim float")
 
 
-def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = NEIGHBOURS, least: float = 0.9, floor: float | None = None,
-                    leaf: int = LEAF, rounds: int = ROUNDS, joined: int | None = None, miss: float = MISS) -> DataFrame:
-    """src, dst, sim: up to k most similar rows of the same model for every row.
+#: A node: its code, the nearest it knows (filled up with -1) and those that lately said to
+#: point to it; new: since the last round.
+NODE = "code binary, near array<long>, sim array<float>, new array<boolean>, back array<long>, back_sim array<float>, back_new array<boolean>"
+CANDIDATE = "key long, other long, s float, back byte, node struct<code:binary,near:array<long>,sim:array<float>,new:array<boolean>,back:array<long>,back_sim:array<float>,back_new:array<boolean>>"
+MESSAGE = "centre long, node long, new boolean, sim float, least float, points boolean, code binary"
+_NODE = [("code", pa.binary()), ("near", pa.list_(pa.int64())), ("sim", pa.list_(pa.float32())), ("new", pa.list_(pa.bool_())),
+         ("back", pa.list_(pa.int64())), ("back_sim", pa.list_(pa.float32())), ("back_new", pa.list_(pa.bool_()))]
+_CANDIDATE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("back", pa.int8()), ("node", pa.struct(_NODE))])
+_MESSAGE = pa.schema([("centre", pa.int64()), ("node", pa.int64()), ("new", pa.bool_()), ("sim", pa.float32()), ("least", pa.float32()),
+                      ("points", pa.bool_()), ("code", pa.binary())])
+
+
+def _candidates(key, other, sim, back) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(back),
+                                       pa.nulls(len(key), pa.struct(_NODE))], schema=_CANDIDATE)
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _arrays(matrix: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+
+
+def _messages(k: int, r: int):
+    """Every node tells its code to those it points to and to those that lately pointed to it."""
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            key, code = b.column(0).to_numpy(), b.column(1)
+            near, sim, new = (_rows(b.column(i), k) for i in (2, 3, 4))
+            back, back_sim, back_new = (_rows(b.column(i), r) for i in (5, 6, 7))
+            least = np.where(near[:, -1] >= 0, sim[:, -1], np.float32(-2)).astype(np.float32)
+            same = (near[:, :, None] == back[:, None, :]) & (near[:, :, None] >= 0)
+            new = new | (same & back_new[:, None, :]).any(axis=2)
+            back = np.where(same.any(axis=1), -1, back)
+            to = np.concatenate([near, back], axis=1)
+            row, at = np.nonzero(to >= 0)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(to[row, at]), pa.array(key[row]), pa.array(np.concatenate([new, back_new], axis=1)[row, at]),
+                pa.array(np.concatenate([sim, back_sim], axis=1)[row, at]), pa.array(least[row]), pa.array(at < k), code.take(pa.array(row))], schema=_MESSAGE)
+
+    return run
+
+
+def _local_joins(most: int, r: int, best: int, wanted: float):
+    """At every centre the at most ``most`` nearest of those that told it their code meet. Of the
+    pairs of which one is new to the centre a node is told its ``best``, and all that are
+    ``wanted``, if they are nearer than the farthest it knows; the centre is told who points to it."""
+
+    def run(batches):
+        for b in _sorted_batches(batches, 0, most):
+            centre, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new, points = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
+            sim, least, x = b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(6))
+            u = _unit(x)
+            first = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(centre)]]))
+            place = np.arange(len(centre)) - np.repeat(first, sizes)
+            told = np.flatnonzero(points)
+            rank = np.cumsum(points) - 1
+            rank = rank - np.repeat(rank[first] - points[first] + 1, sizes) if len(first) else rank
+            told = told[rank[told] < r]
+            yield _candidates(centre[told], node[told], sim[told], np.where(new[told], 2, 1).astype(np.int8))
+            sizes = np.minimum(sizes, most)
+            order = np.argsort(sizes, kind="stable")  # centres of like size together
+            for at in range(0, len(order), 256):
+                which = order[at:at + 256]
+                size = sizes[which]
+                width = int(size.max())
+                if width < 2:
+                    continue
+                slot = np.arange(width)
+                inside = slot[None, :] < size[:, None]
+                row = np.where(inside, first[which][:, None] + slot[None, :], 0)
+                y, v = x[row], u[row]
+                s = np.matmul(y, y.transpose(0, 2, 1)) * (v[:, :, None] * v[:, None, :])
+                fresh, who = new[row] & inside, node[row]
+                ok = (fresh[:, :, None] | fresh[:, None, :]) & inside[:, :, None] & inside[:, None, :] & (who[:, :, None] != who[:, None, :])
+                ok &= s > least[row][:, :, None]
+                s = np.where(ok, s, np.float32(-3))
+                if width > best:
+                    limit = -np.partition(-s, best - 1, axis=2)[:, :, best - 1]
+                    ok &= s >= np.minimum(limit, wanted)[:, :, None]
+                g, i, j = np.nonzero(ok)
+                if len(g):
+                    yield _candidates(who[g, i], who[g, j], s[g, i, j], np.zeros(len(g), np.int8))
+
+    return run
+
+
+def _best_of(owner, other, sim, new, n: int, k: int):
+    """Per owner (0 to n - 1) the k nearest, an entry not being new where it was known before."""
+    near, sims, fresh = np.full((n, k), -1, np.int64), np.full((n, k), -2, np.float32), np.zeros((n, k), bool)
+    if not len(owner):
+        return near, sims, fresh
+    # equal pairs have equal similarities, so one order brings them together
+    place = ((1.0 - sim.astype(np.float64)) * (1 << 19)).astype(np.int64)
+    order = np.lexsort((other, owner.astype(np.int64) << 21 | place))
+    owner, other, sim, new = owner[order], other[order], sim[order], new[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]))
+    new = np.logical_and.reduceat(new, first)
+    owner, other, sim = owner[first], other[first], sim[first]
+    begin = np.concatenate([[True], owner[1:] != owner[:-1]])
+    rank = np.arange(len(owner)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+    top = rank < k
+    near[owner[top], rank[top]], sims[owner[top], rank[top]], fresh[owner[top], rank[top]] = other[top], sim[top], new[top]
+    return near, sims, fresh
+
+
+def _merge(k: int, r: int):
+    """The nodes with their lists after the candidates of a round."""
+    schema = pa.schema([("key", pa.int64()), *_NODE])
+
+    def run(batches):
+        for b in _sorted_batches(batches, 0):
+            key = b.column(0).to_numpy()
+            node = b.column(4)
+            at = np.flatnonzero(node.is_valid().to_numpy(zero_copy_only=False))
+            node, keys = node.take(pa.array(at)), key[at]
+            n = len(keys)
+            if not n:
+                continue
+            near, sim = _rows(node.field("near"), k), _rows(node.field("sim"), k)
+            g, i = np.nonzero(near >= 0)
+            rest = np.ones(len(key), bool)
+            rest[at] = False
+            rest = np.flatnonzero(rest)
+            owner = np.searchsorted(keys, key[rest])
+            other, s, back = (b.column(c).to_numpy(zero_copy_only=False)[rest] for c in (1, 2, 3))
+            lists = _best_of(np.concatenate([g, owner]), np.concatenate([near[g, i], other.astype(np.int64)]), np.concatenate([sim[g, i], s.astype(np.float32)]),
+                             np.concatenate([np.zeros(len(g), bool), np.ones(len(owner), bool)]), n, k)
+            told = back > 0
+            backs = _best_of(owner[told], other[told].astype(np.int64), s[told].astype(np.float32), back[told] > 1, n, r)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), node.field("code"), *map(_arrays, (*lists, *backs))], schema=schema)
+
+    return run
+
+
+def _after(nodes: DataFrame, candidates: DataFrame, k: int, r: int) -> DataFrame:
+    state = nodes.select("key", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("s"), F.lit(None).cast("byte").alias("back"),
+                         F.struct("code", "near", "sim", "new", "back", "back_sim", "back_new").alias("node"))
+    return state.unionByName(candidates).repartition("key").sortWithinPartitions("key").mapInArrow(_merge(k, r), f"key long, {NODE}")
+
+
+def _edges(nodes: DataFrame) -> DataFrame:
+    e = nodes.select(F.col("key").alias("src"), F.explode(F.arrays_zip("near", "sim", "new")).alias("e"))
+    return e.select("src", F.col("e.near").alias("dst"), F.col("e.sim").alias("sim"), F.col("e.new").alias("fresh")).filter("dst >= 0")
+
+
+def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: int = TREES, leaf: int = LEAF, started: int = STARTED,
+                    rounds: int = ROUNDS, least_change: float = LEAST_CHANGE, wanted: float = 2.0, best: int = BEST, report=None) -> DataFrame:
+    """src, dst, sim: k most similar rows of the same model for every row, by NN-descent.
 
-    least: the similarity for which the forest is laid out. floor: edges below it are not
-    kept; by default 2 * least**2 - 1, for two rows that share a neighbour of similarity
-    ``least`` are at least that similar, so no path to such a pair leads through lesser edges.
-    Each round joins every node's neighbours (at most ``joined`` out, as many in, the nearest;
-    k where it is not given) with one another, at least one edge of a path being new, so work
-    per node has a bound.
+    codes: key (long, not negative), model, code. The start is light: in each of a fixed number of trees every row
+    is compared with the at most ``leaf`` rows beside it and keeps the ``started`` nearest. Then
+    rounds of joining neighbours of neighbours: every node sends its code to those it points to and to those that
+    pointed to it; all that arrive at a node meet there, and of the pairs that are new to it each learns the
+    nearest, and all of at least ``wanted``. Two shuffles a round, both linear in the nodes; work per node has a bound. Rounds end
+    when fewer than ``least_change`` of the edges (of those of at least ``wanted``, where it is
+    given, when none) are new. report: called with the round and its edges.
     """
-    joined = k if joined is None else joined
-    floor = 2 * least * least - 1 if floor is None else floor
-    edges = _forest_edges(codes, key, k, floor, least, leaf, miss)
-    graph = checkpointed(_nearest(edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")), "src", "dst", k).withColumn("fresh", F.lit(True)))
     n = codes.count()
-    for _ in range(rounds):
-        out = graph if joined >= k else _nearest(graph, "src", "dst", joined)
-        back = _nearest(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "fresh"), "src", "dst", joined)
-        both = out.unionByName(back).groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
-        a, b = both.alias("a"), both.alias("b")
-        pairs = (
-            a.join(b, F.col("a.src") == F.col("b.src"))
-            .filter((F.col("a.dst") < F.col("b.dst")) & (F.col("a.fresh") | F.col("b.fresh")))
-            .select(F.col("a.dst").alias("src"), F.col("b.dst").alias("dst")).distinct()
-        )
-        known = graph.select("src", "dst")
-        found = _similar(pairs.join(known, ["src", "dst"], "left_anti"), codes, key).filter(F.col("sim") >= floor)
-        new = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
-        merged = graph.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
-        graph = checkpointed(_nearest(merged.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), "src", "dst", k))
-        if graph.filter("fresh").count() <= LEAST_CHANGE * k * n:
+    if not n:
+        return codes.select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(0.0).cast("float").alias("sim"))
+    spread = placed(codes, key, n, DIMENSIONS, trees, leaf).repartitionByRange("tree", "m", "cell", "along", key)
+    start = spread.sortWithinPartitions("tree", "m", "cell", "along", key).mapInArrow(_block_edges(started, leaf), CANDIDATE)
+    none = lambda kind, value: F.array_repeat(F.lit(value).cast(kind), k)
+    empty = codes.select(F.col(key).alias("key"), "code", none("long", -1).alias("near"), none("float", -2).alias("sim"), none("boolean", False).alias("new"),
+                         none("long", -1).alias("back"), none("float", -2).alias("back_sim"), none("boolean", False).alias("back_new"))
+    nodes = checkpointed(_after(empty, start, k, k))
+    if report:
+        report(0, _edges(nodes))
+    for number in range(1, rounds + 1):
+        told = nodes.mapInArrow(_messages(k, k), MESSAGE).repartition("centre").sortWithinPartitions("centre", F.desc("sim"))
+        after = checkpointed(_after(nodes, told.mapInArrow(_local_joins(3 * k, k, best, wanted), CANDIDATE), k, k))
+        forget(nodes)
+        nodes = after
+        if report:
+            report(number, _edges(nodes))
+        count = lambda c, keep: F.sum(F.size(F.filter(c, keep)))
+        told = nodes.select(F.arrays_zip("near", "sim", "new").alias("e")).agg(
+            count("e", lambda e: (e["near"] >= 0) & (e["sim"] >= (wanted if wanted <= 1 else -2.0))).alias("n"),
+            count("e", lambda e: e["new"] & (e["sim"] >= (wanted if wanted <= 1 else -2.0))).alias("new")).first()
+        if (told["new"] or 0) <= (0 if wanted <= 1 else least_change * (told["n"] or 0)):
             break
-    return graph.drop("fresh")
+    return _edges(nodes).drop("fresh")
 
 
 def nearest_rows(rows: DataFrame, key: str = "seq", record: str = "id", model: str = "embedding_model", vector: str = "embedding",
-                 k: int = NEIGHBOURS, typical: float = 0.5, leaf: int = 8_000, miss: float = 0.1, rounds: int = 1) -> DataFrame:
-    """src, dst, sim: the k rows of its model most similar to every current row, by a graph
-    without a floor. typical: how similar the k-th neighbour usually is; the forest misses a
-    pair that near with a chance of ``miss`` before the graph is refined. sim is that of
-    eight-bit codes."""
+                 k: int = NEIGHBOURS) -> DataFrame:
+    """src, dst, sim: the k rows of its model most similar to every current row, by NN-descent
+    over eight-bit codes."""
     codes = current_codes(rows, key, record, model, vector, 8)
-    return neighbour_graph(codes, key, k, typical, -1.0, leaf, rounds, joined=max(1, k // 2), miss=miss)
+    return _nearest(neighbour_graph(codes, key), "src", "dst", k)
 
 
 def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, key: str = "seq", k: int = NEIGHBOURS, beam: int = 40,
@@ -277,17 +442,18 @@ def current_codes(rows: DataFrame, key: str, record: str, model: str, vector: st
 
 
 def similar_pairs(rows: DataFrame, least: float, key: str = "seq", record: str = "id", model: str = "embedding_model",
-                  vector: str = "embedding", k: int = NEIGHBOURS, leaf: int = LEAF) -> DataFrame:
+                  vector: str = "embedding", k: int = NEIGHBOURS + 2, rounds: int = 2 * ROUNDS) -> DataFrame:
     """a < b, sim: pairs of current rows of one model whose cosine is at least ``least``.
 
     Vectors that are null, of another length, all zero or not finite take no part. Rows whose
     vectors are equal to a byte are one node of the graph and are paired with each other and
-    with each other's neighbours afterwards. Edges of the graph are approximate; every pair
-    reported is checked on the vectors themselves. Each node keeps k neighbours.
+    with each other's neighbours afterwards. Edges of the graph are approximate, so more
+    neighbours than the ten that a row may have are kept and pairs down to SLACK below ``least`` go on
+    to the check on the vectors themselves. Rounds end when one finds no such pair.
     """
     codes = current_codes(rows, key, record, model, vector)
     groups = checkpointed(codes.groupBy("model", "code").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("n")))
-    graph = neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, least, None, leaf)
+    graph = checkpointed(neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, wanted=least - SLACK, best=1, rounds=rounds))
     near = graph.filter(F.col("sim") >= least - SLACK).select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
     alike = groups.filter("n > 1").select(F.col("node").alias("x"), F.col("node").alias("y"))
     members = codes.join(groups.filter("n > 1"), ["model", "code"]).select("node", F.col(key).alias("member"))

@@ -278,7 +278,7 @@ def test_similar_pairs_recall(spark):
     rows = [(i, f"s{i}", v.tolist(), "m" if i % 7 else "n") for i, v in enumerate(x.astype(np.float32))]
     rows += [(2000, "s0", None, "m"), (2001, "u1", [], "m"), (2002, "u2", [0.0] * 64, "m"), (2003, "u3", [float("nan")] * 64, "m"), (2004, "u4", [1.0] * 32, "m"), (2005, "u5", [1e38] * 64, None)]
     df = spark.createDataFrame(rows + rows[:4], "seq long, id string, embedding array<float>, embedding_model string").withColumn("code", F.lit("clash"))
-    got = {(r.a, r.b) for r in neighbours.similar_pairs(df, 0.9, leaf=64).collect()}
+    got = {(r.a, r.b) for r in neighbours.similar_pairs(df, 0.9).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     want = {(i, j) for i in range(1, len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.9 and (i % 7 > 0) == (j % 7 > 0)}
