@@ -18,10 +18,11 @@ from codeweft.session import checkpointed, forget
 DIMENSIONS = 64
 NEIGHBOURS = 10
 #: The start: trees, rows compared with one another in each, and edges kept of each.
-TREES, LEAF, STARTED = 3, 256, 6
-#: Neighbours kept of every node, more than are asked for; those of them that meet at a node, each way.
-KEPT, BEST = 14, 3
-ROUNDS, LEAST_CHANGE = 8, 0.01
+TREES, LEAF, STARTED = 6, 768, 4
+#: Neighbours kept of every node, more than are asked for; of the pairs that meet at a node those
+#: that each is told; most that meet at a node.
+KEPT, BEST, MEET = 16, 3, 48
+ROUNDS, LEAST_CHANGE = 7, 0.02
 #: What rounding to four bits may take from a similarity.
 SLACK = 0.05
 SEED = 5
@@ -192,51 +193,64 @@ def _similar(pairs: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "ca", "cb").mapInArrow(run, "src long, dst long, sim float")
 
 
-#: A node: its code, the nearest it knows (filled up with -1) and those that lately said to
-#: point to it; new: since the last round.
-NODE = "code binary, near array<long>, sim array<float>, new array<boolean>, back array<long>, back_sim array<float>, back_new array<boolean>"
-CANDIDATE = "key long, other long, s float, back byte, node struct<code:binary,near:array<long>,sim:array<float>,new:array<boolean>,back:array<long>,back_sim:array<float>,back_new:array<boolean>>"
+CANDIDATE = "key long, other long, s float, back byte, node binary"
 MESSAGE = "centre long, node long, new boolean, sim float, least float, points boolean, code binary"
-_NODE = [("code", pa.binary()), ("near", pa.list_(pa.int64())), ("sim", pa.list_(pa.float32())), ("new", pa.list_(pa.bool_())),
-         ("back", pa.list_(pa.int64())), ("back_sim", pa.list_(pa.float32())), ("back_new", pa.list_(pa.bool_()))]
-_CANDIDATE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("back", pa.int8()), ("node", pa.struct(_NODE))])
+_CANDIDATE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("back", pa.int8()), ("node", pa.binary())])
 _MESSAGE = pa.schema([("centre", pa.int64()), ("node", pa.int64()), ("new", pa.bool_()), ("sim", pa.float32()), ("least", pa.float32()),
                       ("points", pa.bool_()), ("code", pa.binary())])
+_EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float32()), ("fresh", pa.bool_())])
 
 
-def _candidates(key, other, sim, back) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(back),
-                                       pa.nulls(len(key), pa.struct(_NODE))], schema=_CANDIDATE)
+def _node(code: int, k: int, r: int) -> np.dtype:
+    """A node as it travels: its code, the k nearest it knows (filled up with -1), whether they are
+    new since the last round, and up to r that lately said to point to it."""
+    return np.dtype([("code", np.uint8, code), ("near", np.int64, k), ("sim", np.float32, k), ("new", np.bool_, k),
+                     ("back", np.int64, r), ("back_sim", np.float32, r), ("back_new", np.bool_, r)])
+
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes of one width as a binary column."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.dtype.itemsize * int(np.prod(rows.shape[1:])))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
 
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    """A column of arrays of one length as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
+def _unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    width = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=kind, count=len(column), offset=int(width[0])) if len(column) else np.zeros(0, kind)
 
-def _arrays(matrix: np.ndarray) -> pa.ListArray:
-    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
+def _filled(n: int, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(n, kind)
+    for name, value in (("near", -1), ("sim", -2), ("back", -1), ("back_sim", -2)):
+        out[name] = value
+    return out
 
-def _messages(k: int, r: int):
+
+def _candidates(key, other, sim, back) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(back),
+                                       pa.nulls(len(key), pa.binary())], schema=_CANDIDATE)
+
+
+def _messages(kind: np.dtype):
     """Every node tells its code to those it points to and to those that lately pointed to it."""
+
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
-            key, code = b.column(0).to_numpy(), b.column(1)
-            near, sim, new = (_rows(b.column(i), k) for i in (2, 3, 4))
-            back, back_sim, back_new = (_rows(b.column(i), r) for i in (5, 6, 7))
-            least = np.where(near[:, -1] >= 0, sim[:, -1], np.float32(-2)).astype(np.float32)
+            key, v = b.column(0).to_numpy(), _unpacked(b.column(1), kind)
+            near, new, back = v["near"], v["new"], v["back"]
+            k = near.shape[1]
+            least = np.where(near[:, -1] >= 0, v["sim"][:, -1], np.float32(-2))
             same = (near[:, :, None] == back[:, None, :]) & (near[:, :, None] >= 0)
-            new = new | (same & back_new[:, None, :]).any(axis=2)
-            back = np.where(same.any(axis=1), -1, back)
-            to = np.concatenate([near, back], axis=1)
+            new = new | (same & v["back_new"][:, None, :]).any(axis=2)
+            to = np.concatenate([near, np.where(same.any(axis=1), -1, back)], axis=1)
             row, at = np.nonzero(to >= 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(to[row, at]), pa.array(key[row]), pa.array(np.concatenate([new, back_new], axis=1)[row, at]),
-                pa.array(np.concatenate([sim, back_sim], axis=1)[row, at]), pa.array(least[row]), pa.array(at < k), code.take(pa.array(row))], schema=_MESSAGE)
+                pa.array(to[row, at]), pa.array(key[row]), pa.array(np.concatenate([new, v["back_new"]], axis=1)[row, at]),
+                pa.array(np.concatenate([v["sim"], v["back_sim"]], axis=1)[row, at]), pa.array(least[row]), pa.array(at < k),
+                _binary(v["code"][row])], schema=_MESSAGE)
 
     return run
 
@@ -255,11 +269,11 @@ def _local_joins(most: int, r: int, best: int, wanted: float):
             first = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
             sizes = np.diff(np.concatenate([first, [len(centre)]]))
             place = np.arange(len(centre)) - np.repeat(first, sizes)
-            told = np.flatnonzero(points)
-            rank = np.cumsum(points) - 1
-            rank = rank - np.repeat(rank[first] - points[first] + 1, sizes) if len(first) else rank
-            told = told[rank[told] < r]
-            yield _candidates(centre[told], node[told], sim[told], np.where(new[told], 2, 1).astype(np.int8))
+            if r:
+                rank = np.cumsum(points) - 1
+                rank -= np.repeat(rank[first] - points[first] + 1, sizes)
+                told = np.flatnonzero(points & (rank < r))
+                yield _candidates(centre[told], node[told], sim[told], np.where(new[told], 2, 1).astype(np.int8))
             sizes = np.minimum(sizes, most)
             order = np.argsort(sizes, kind="stable")  # centres of like size together
             for at in range(0, len(order), 256):
@@ -306,83 +320,96 @@ def _best_of(owner, other, sim, new, n: int, k: int):
     return near, sims, fresh
 
 
-def _merge(k: int, r: int):
+def _merge(kind: np.dtype):
     """The nodes with their lists after the candidates of a round."""
-    schema = pa.schema([("key", pa.int64()), *_NODE])
+    k, r = kind["near"].shape[0], kind["back"].shape[0]
 
     def run(batches):
         for b in _sorted_batches(batches, 0):
-            key = b.column(0).to_numpy()
-            node = b.column(4)
-            at = np.flatnonzero(node.is_valid().to_numpy(zero_copy_only=False))
-            node, keys = node.take(pa.array(at)), key[at]
-            n = len(keys)
-            if not n:
+            key, packed = b.column(0).to_numpy(), b.column(4)
+            at = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False))
+            if not len(at):
                 continue
-            near, sim = _rows(node.field("near"), k), _rows(node.field("sim"), k)
-            g, i = np.nonzero(near >= 0)
+            keys, v = key[at], _unpacked(packed.take(pa.array(at)), kind)
+            g, i = np.nonzero(v["near"] >= 0)
             rest = np.ones(len(key), bool)
             rest[at] = False
             rest = np.flatnonzero(rest)
             owner = np.searchsorted(keys, key[rest])
             other, s, back = (b.column(c).to_numpy(zero_copy_only=False)[rest] for c in (1, 2, 3))
-            lists = _best_of(np.concatenate([g, owner]), np.concatenate([near[g, i], other.astype(np.int64)]), np.concatenate([sim[g, i], s.astype(np.float32)]),
-                             np.concatenate([np.zeros(len(g), bool), np.ones(len(owner), bool)]), n, k)
+            other, s = other.astype(np.int64), s.astype(np.float32)
+            out = np.zeros(len(keys), kind)
+            out["code"] = v["code"]
+            out["near"], out["sim"], out["new"] = _best_of(
+                np.concatenate([g, owner]), np.concatenate([v["near"][g, i], other]), np.concatenate([v["sim"][g, i], s]),
+                np.concatenate([np.zeros(len(g), bool), np.ones(len(owner), bool)]), len(keys), k)
             told = back > 0
-            backs = _best_of(owner[told], other[told].astype(np.int64), s[told].astype(np.float32), back[told] > 1, n, r)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), node.field("code"), *map(_arrays, (*lists, *backs))], schema=schema)
+            out["back"], out["back_sim"], out["back_new"] = _best_of(owner[told], other[told], s[told], back[told] > 1, len(keys), r)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _binary(out)], names=["key", "node"])
 
     return run
 
 
-def _after(nodes: DataFrame, candidates: DataFrame, k: int, r: int) -> DataFrame:
-    state = nodes.select("key", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("s"), F.lit(None).cast("byte").alias("back"),
-                         F.struct("code", "near", "sim", "new", "back", "back_sim", "back_new").alias("node"))
-    return state.unionByName(candidates).repartition("key").sortWithinPartitions("key").mapInArrow(_merge(k, r), f"key long, {NODE}")
+def _after(nodes: DataFrame, candidates: DataFrame, kind: np.dtype) -> DataFrame:
+    state = nodes.select("key", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("s"), F.lit(None).cast("byte").alias("back"), "node")
+    return state.unionByName(candidates).repartition("key").sortWithinPartitions("key").mapInArrow(_merge(kind), "key long, node binary")
 
 
-def _edges(nodes: DataFrame) -> DataFrame:
-    e = nodes.select(F.col("key").alias("src"), F.explode(F.arrays_zip("near", "sim", "new")).alias("e"))
-    return e.select("src", F.col("e.near").alias("dst"), F.col("e.sim").alias("sim"), F.col("e.new").alias("fresh")).filter("dst >= 0")
+def _edges(nodes: DataFrame, kind: np.dtype) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            v = _unpacked(b.column(1), kind)
+            row, at = np.nonzero(v["near"] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(v["near"][row, at]), pa.array(v["sim"][row, at]),
+                                              pa.array(v["new"][row, at])], schema=_EDGE)
+
+    return nodes.mapInArrow(run, "src long, dst long, sim float, fresh boolean")
+
+
+def _started(code: int, kind: np.dtype):
+    def run(batches):
+        for b in batches:
+            out = _filled(len(b), kind)
+            out["code"] = _unpacked(b.column(1), np.dtype((np.uint8, code))).reshape(len(b), code)
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(out)], names=["key", "node"])
+
+    return run
 
 
 def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: int = TREES, leaf: int = LEAF, started: int = STARTED,
-                    rounds: int = ROUNDS, least_change: float = LEAST_CHANGE, wanted: float = 2.0, best: int = BEST, report=None) -> DataFrame:
+                    rounds: int = ROUNDS, least_change: float = LEAST_CHANGE, wanted: float = 2.0, best: int = BEST, reverse: int = KEPT, meet: int = MEET,
+                    report=None) -> DataFrame:
     """src, dst, sim: k most similar rows of the same model for every row, by NN-descent.
 
     codes: key (long, not negative), model, code. The start is light: in each of a fixed number of trees every row
     is compared with the at most ``leaf`` rows beside it and keeps the ``started`` nearest. Then
-    rounds of joining neighbours of neighbours: every node sends its code to those it points to and to those that
-    pointed to it; all that arrive at a node meet there, and of the pairs that are new to it each learns the
+    rounds of joining neighbours of neighbours: every node sends its code to those it points to and to the ``reverse`` nearest
+    that pointed to it; all that arrive at a node meet there, and of the pairs that are new to it each learns the
     nearest, and all of at least ``wanted``. Two shuffles a round, both linear in the nodes; work per node has a bound. Rounds end
     when fewer than ``least_change`` of the edges (of those of at least ``wanted``, where it is
     given, when none) are new. report: called with the round and its edges.
     """
-    n = codes.count()
+    n, code = codes.agg(F.count(F.lit(1)), F.max(F.length("code"))).first()
     if not n:
         return codes.select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(0.0).cast("float").alias("sim"))
+    kind = _node(code, k, reverse)
     spread = placed(codes, key, n, DIMENSIONS, trees, leaf).repartitionByRange("tree", "m", "cell", "along", key)
     start = spread.sortWithinPartitions("tree", "m", "cell", "along", key).mapInArrow(_block_edges(started, leaf), CANDIDATE)
-    none = lambda kind, value: F.array_repeat(F.lit(value).cast(kind), k)
-    empty = codes.select(F.col(key).alias("key"), "code", none("long", -1).alias("near"), none("float", -2).alias("sim"), none("boolean", False).alias("new"),
-                         none("long", -1).alias("back"), none("float", -2).alias("back_sim"), none("boolean", False).alias("back_new"))
-    nodes = checkpointed(_after(empty, start, k, k))
+    empty = codes.select(F.col(key).alias("key"), "code").mapInArrow(_started(code, kind), "key long, node binary")
+    nodes = checkpointed(_after(empty, start, kind))
     if report:
-        report(0, _edges(nodes))
+        report(0, _edges(nodes, kind))
     for number in range(1, rounds + 1):
-        told = nodes.mapInArrow(_messages(k, k), MESSAGE).repartition("centre").sortWithinPartitions("centre", F.desc("sim"))
-        after = checkpointed(_after(nodes, told.mapInArrow(_local_joins(3 * k, k, best, wanted), CANDIDATE), k, k))
+        told = nodes.mapInArrow(_messages(kind), MESSAGE).repartition("centre").sortWithinPartitions("centre", F.desc("sim"))
+        after = checkpointed(_after(nodes, told.mapInArrow(_local_joins(meet, reverse, best, wanted), CANDIDATE), kind))
         forget(nodes)
         nodes = after
         if report:
-            report(number, _edges(nodes))
-        count = lambda c, keep: F.sum(F.size(F.filter(c, keep)))
-        told = nodes.select(F.arrays_zip("near", "sim", "new").alias("e")).agg(
-            count("e", lambda e: (e["near"] >= 0) & (e["sim"] >= (wanted if wanted <= 1 else -2.0))).alias("n"),
-            count("e", lambda e: e["new"] & (e["sim"] >= (wanted if wanted <= 1 else -2.0))).alias("new")).first()
-        if (told["new"] or 0) <= (0 if wanted <= 1 else least_change * (told["n"] or 0)):
+            report(number, _edges(nodes, kind))
+        told = _edges(nodes, kind).filter(F.col("sim") >= (wanted if wanted <= 1 else -2.0)).agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("new")).first()
+        if told["new"] <= (0 if wanted <= 1 else least_change * told["n"]):
             break
-    return _edges(nodes).drop("fresh")
+    return _edges(nodes, kind).drop("fresh")
 
 
 def nearest_rows(rows: DataFrame, key: str = "seq", record: str = "id", model: str = "embedding_model", vector: str = "embedding",
@@ -453,7 +480,7 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "seq", record: str =
     """
     codes = current_codes(rows, key, record, model, vector)
     groups = checkpointed(codes.groupBy("model", "code").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("n")))
-    graph = checkpointed(neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, wanted=least - SLACK, best=1, rounds=rounds))
+    graph = checkpointed(neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, wanted=least - SLACK, best=2, reverse=k, rounds=rounds))
     near = graph.filter(F.col("sim") >= least - SLACK).select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
     alike = groups.filter("n > 1").select(F.col("node").alias("x"), F.col("node").alias("y"))
     members = codes.join(groups.filter("n > 1"), ["model", "code"]).select("node", F.col(key).alias("member"))
