@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 #: Words a full-text query leaves out (fixed values).
 STOP_WORDS = ("a", "an", "the", "to", "for", "in", "on", "of", "and", "or", "is", "it", "add", "make", "how", "do", "i", "we", "my")
-#: Capitalised words in code that name no type (fixed values).
-NO_TYPES = ("String", "Error", "Errorf", "True", "False", "None", "Println", "Printf", "Sprintf", "TODO", "FIXME", "XXX")
+#: Capitalised keywords, which name no type (fixed values).
+NO_TYPES = ("Break", "Case", "Chan", "Const", "Continue", "Default", "Defer", "Else", "Fallthrough", "For", "Func", "Go", "Goto", "If",
+            "Import", "Interface", "Map", "Package", "Range", "Return", "Select", "Struct", "Switch", "Type", "Var")
 
 
 def decompose(name: Column) -> Column:
@@ -44,6 +45,13 @@ def compound_parts(text: Column) -> Column:
     return F.array_distinct(F.flatten(parts))
 
 
+def is_precise(text: Column) -> Column:
+    """Whether a task is one identifier (compound, or with a dot) and so asks for just that."""
+    words = fields(text)
+    word = trimmed(F.get(words, 0))
+    return (F.size(words) == 1) & (is_compound(word) | word.contains("."))
+
+
 def query_words(text: Column) -> Column:
     return F.filter(F.transform(fields(text), trimmed), lambda w: F.octet_length(w) >= 3)
 
@@ -89,28 +97,31 @@ def dirname(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
 
+def plain_path(path: Column, root: str = "/work/checkout/") -> Column:
+    """A path as the index spells it: slashes, none doubled, without the root of the checkout or a leading dot."""
+    slashed = F.regexp_replace(path, r"[\\/]+", "/")
+    return F.regexp_replace(slashed, f"^(?:{root}|\\./)", "")
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)$", 1)
 
 
 def elide(id_: Column, module: str) -> Column:
     """Without the module's prefix."""
-    return F.when(id_.startswith(module + "/"), F.substring(id_, len(module) + 2, 100_000)).otherwise(id_)
+    return F.when(id_.startswith(module + "/"), id_.substr(F.lit(len(module) + 2), F.length(id_))).otherwise(id_)
 
 
 def rpc_messages(signature: Column) -> tuple[Column, Column]:
-    """Names of request and response: last segment, without ``stream``."""
-    def clean(x: Column) -> Column:
-        return F.substring_index(F.regexp_replace(F.trim(x), r"^stream\s+", ""), ".", -1)
-
-    return (clean(F.regexp_extract(signature, r"\(([^)]*)\)", 1)),
-            clean(F.regexp_extract(signature, r"returns\s*\(([^)]*)\)", 1)))
+    """What stands in the first parentheses, and in the first after ``returns``, as written."""
+    return (F.trim(F.regexp_extract(signature, r"\(([^)]*)\)", 1)),
+            F.trim(F.regexp_extract(signature, r"returns[^(]*\(([^)]*)\)", 1)))
 
 
 def go_field_name(name: Column) -> Column:
     """pickup_time -> PickupTime."""
     parts = F.filter(F.split(name, "_"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), "")
 
 
 def is_generated(file: Column) -> Column:

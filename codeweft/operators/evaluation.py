@@ -27,3 +27,16 @@ def rank_delta(a: DataFrame, b: DataFrame) -> DataFrame:
 
     both = best(a, "x").join(best(b, "y"), "query")
     return both.agg(F.count_if(F.expr("y < x")).alias("improved"), F.count_if(F.expr("y > x")).alias("worsened"), F.count_if(F.expr("y = x")).alias("unchanged"))
+
+
+def violation_rate(results: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """One row: forbidden pairs, how many of them were returned, and their share."""
+    f = forbidden.select("query", "id").distinct()
+    met = f.join(results.select("query", "id").distinct().withColumn("hit", F.lit(1)), ["query", "id"], "left")
+    return met.agg(F.count(F.lit(1)).alias("forbidden"), F.count("hit").alias("violations"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("rate"))
+
+
+def averages(kept: DataFrame) -> DataFrame:
+    """One row: queries, average results and average tokens of a query."""
+    per = kept.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("used").alias("tokens"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("n"), 6).alias("results"), F.round(F.avg("tokens"), 6).alias("tokens"))

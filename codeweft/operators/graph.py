@@ -89,7 +89,7 @@ def tiered_callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     called = calling.select("id", "other", F.lit(3).alias("tier"), F.lit("body reference (heuristic)").alias("why"))
     held = body_mentions(symbols, left.join(calling.select("id"), "id", "left_anti")).select(
         "id", "other", F.lit(4).alias("tier"), F.lit("body reference (non-call)").alias("why"))
-    every = linked.withColumn("least", F.min("tier").over(Window.partitionBy("id"))).filter("tier = least").drop("least")
+    every = linked.join(linked.groupBy("id").agg(F.min("tier").alias("tier")), ["id", "tier"], "left_semi").select("id", "other", "tier", "why")
     return every.unionByName(called).unionByName(held)
 
 
@@ -150,6 +150,23 @@ def viz_edges(roots: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
     return touch[0].unionByName(touch[1]).distinct()
 
 
+def viz_towards(roots: DataFrame, edges: DataFrame, symbols: DataFrame, direction: str, depth: int = 2) -> DataFrame:
+    """root, from_id, to_id: as viz_edges, going only to ``callers`` or only to ``callees``."""
+    depth = 2 if depth <= 0 else min(depth, 4)
+    calls = resolved(edges, symbols, "calls")
+    at, to = ("to_id", "from_id") if direction == "callers" else ("from_id", "to_id")
+    seen = frontier = roots.select(F.col("id").alias("root"), "id")
+    out = None
+    for hop in range(depth):
+        met = frontier.join(calls, F.col("id") == F.col(at)).select("root", "from_id", "to_id")
+        if hop + 1 < depth:
+            met = checkpointed(met)
+            frontier = met.select("root", F.col(to).alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
+            seen = seen.unionByName(frontier)
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
+
+
 def dot(viz: DataFrame) -> DataFrame:
     """root, nodes, edges, dot: a drawing of each root's neighbourhood as DOT text."""
     nodes = viz.select("root", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
@@ -194,6 +211,6 @@ def body_references(symbols: DataFrame, n: int = 10) -> DataFrame:
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    """kind, edges, from_ids, to_ids, most (edges into one symbol)."""
+    """kind, edges, to_ids, most (edges into one symbol)."""
     into = edges.groupBy("kind", "to_id").agg(F.count(F.lit(1)).alias("n"))
     return into.groupBy("kind").agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("to_ids"), F.max("n").alias("most"))

@@ -90,3 +90,11 @@ def fuzzy(symbols: DataFrame, queries: DataFrame) -> DataFrame:
         (-F.greatest(best_candidate_score(F.col("package"), F.col("query")), F.lit(-1.0))).alias("score"), "seq")
     every = exact.unionByName(suffix).unionByName(named)
     return first_per(every, ["query"], ["tier", "score", "seq", "id"], 1).select("query", "id", "tier")
+
+
+def expand_ids(symbols: DataFrame, queries: DataFrame, module: str) -> DataFrame:
+    """query, id: the symbol that a full id, or one without the module's prefix, names."""
+    q = queries.filter("query <> ''").select("query").distinct()
+    ids = symbols.select("id")
+    whole = q.join(ids, F.col("query") == F.col("id"))
+    return whole.unionByName(q.join(whole.select("query"), "query", "left_anti").join(ids, F.concat(F.lit(module + "/"), F.col("query")) == F.col("id")))

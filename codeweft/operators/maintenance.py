@@ -58,6 +58,24 @@ def delete_edges(edges: DataFrame, kind: str, packages: DataFrame | None = None,
     return edges.join(of_kind.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
 
 
+def delete_edges_below(edges: DataFrame, kind: str, packages: DataFrame) -> DataFrame:
+    """Edges without those of a kind whose from_id begins with one of the packages, sibling packages
+    of a longer name included. Prefixes of the ids, of the lengths that packages have, are joined by equality."""
+    lengths = packages.select(F.sort_array(F.collect_set(F.length("package"))).alias("lengths"))  # one row; paths are short, so lengths are few
+    ids = edges.filter(F.col("kind") == kind).select("from_id").distinct()
+    cut = ids.crossJoin(F.broadcast(lengths)).select("from_id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("from_id"), F.lit(1), n))).alias("package"))
+    gone = cut.join(packages.select("package").distinct(), "package", "left_semi").select("from_id").distinct().withColumn("kind", F.lit(kind))
+    return edges.join(gone, ["from_id", "kind"], "left_anti").select(*edges.columns)
+
+
+def update_vectors(base: DataFrame, fresh: DataFrame) -> DataFrame:
+    """base with vector and model taken from fresh (id, embedding, embedding_model) where it has the id; no row is added."""
+    f = fresh.select("id", F.col("embedding").alias("e"), F.col("embedding_model").alias("m"), F.lit(True).alias("hit"))
+    both = base.join(f, "id", "left")
+    return both.select(*[F.when(F.col("hit"), F.col({"embedding": "e", "embedding_model": "m"}[c])).otherwise(F.col(c)).alias(c)
+                         if c in ("embedding", "embedding_model") else F.col(c) for c in base.columns])
+
+
 def restorable(snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
     """id, embedding, embedding_model of the snapshot for fresh rows of unchanged text."""
     keys = ["id", "name", "signature"]

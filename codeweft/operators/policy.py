@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codeweft.functions import text
 
 #: Extensions of source files (fixed values).
-SOURCE = (".go", ".ts", ".tsx", ".js", ".jsx", ".py", ".proto", ".rs", ".java", ".kt", ".c", ".cc", ".cpp", ".h", ".hpp", ".cs", ".rb", ".swift")
+SOURCE = (".go", ".ts", ".tsx", ".js", ".jsx", ".proto", ".rs", ".py", ".java", ".c", ".cc", ".cpp", ".h", ".hpp", ".cs", ".rb", ".swift", ".kt")
 TARGETED, WHOLE = 200, 350
 
 
@@ -26,9 +26,9 @@ def decide(events: DataFrame, mode: str = "block") -> DataFrame:
     low = F.lower("file")
     command = F.lower(F.coalesce("command_source", F.lit("")))
     exempt = command.rlike("hook|mcp")
-    generated = low.rlike(r"/generated/|/gen/|\.pb\.go|_generated\.go")
-    source = ~F.coalesce("file_type", F.lit("")).isin("binary", "asset") & (
-        text.extension(low).isin(*SOURCE) | (F.coalesce("file_type", F.lit("")) == "source"))
+    generated = low.contains("/generated/") | low.contains("/gen/") | low.endswith(".pb.go") | low.endswith("_generated.go")
+    kind_of_file = F.lower(F.coalesce("file_type", F.lit("")))
+    source = ~kind_of_file.isin("binary", "asset") & (text.extension(low).isin(*SOURCE) | (kind_of_file == "source"))
     ranged = (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line"))
     kind = (F.when(exempt, "exempt").when(generated, "generated").when(~source, "non-source")
             .when(F.coalesce(ranged, F.lit(False)), "targeted-source").otherwise("whole-source"))

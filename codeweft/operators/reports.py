@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeweft.functions import text
-from codeweft.operators import graph
+from codeweft.operators import graph, lookup
 from codeweft.operators.lookup import first_per
 
 
@@ -100,6 +100,17 @@ def field_impact(symbols: DataFrame) -> DataFrame:
     return found.unionByName(refs.join(f.select("field", "go"), "field").select("field", "id", F.concat(F.lit("references "), F.col("go"), F.lit(" (heuristic)")).alias("why")))
 
 
+def body_rows(symbols: DataFrame, queries: DataFrame, module: str) -> DataFrame:
+    """One row for every (possibly shortened) id: query, id, short_id, body, hint, references (the
+    ids of the first ten symbols the body names, in order)."""
+    found = lookup.fuzzy(symbols, queries)
+    refs = graph.body_references(symbols).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda r: r["other"]), " ").alias("references"))
+    short = text.elide(F.col("id"), module)
+    hint = F.when(F.col("id") != F.col("query"), F.concat(F.lit('Fuzzy match: requested "'), F.col("query"), F.lit('", resolved to "'), short, F.lit('"'))).otherwise("")
+    return found.select("query", "id").join(symbols.select("id", "body"), "id").join(refs, "id", "left").select(
+        "query", "id", short.alias("short_id"), "body", hint.alias("hint"), F.coalesce("references", F.lit("")).alias("references"))
+
+
 def gaps(symbols: DataFrame) -> DataFrame:
     """service, rpc, state: missing, stubbed or implemented, for every rpc of every service."""
     rpc = symbols.filter("kind = 'rpc'").select(F.col("id").alias("rpc"), "name", text.parent_id(F.col("id")).alias("service"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeweft.functions import scoring as sc, text
-from codeweft.operators import graph, lookup, search
+from codeweft.operators import graph, lookup, search, vectors
 from codeweft.session import checkpointed
 
 BUDGET = 2000
+#: Fixed values of the vector phase: weight of a cosine, hits that are merged.
+VECTOR, VECTOR_HITS = 1.5, 30
 BRIEF_LEAST = 5  # no row costs less, so no more than budget / 5 rows are kept
 
 
@@ -36,12 +38,38 @@ def text_hits(queries: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """query, id, score, why: exact hits, then text hits of symbols not yet there."""
+    """query, id, score, why: exact hits, then text hits of symbols not yet there. A precise task
+    (one identifier) is not searched as text: its words would find what it does not name."""
     found = exact_hits(queries, symbols).unionByName(
-        text_hits(queries, symbols).select("query", "id", "score", "why", F.lit(2).alias("phase")))
+        text_hits(queries.filter(~F.col("precise")), symbols).select("query", "id", "score", "why", F.lit(2).alias("phase")))
     return lookup.first_per(found, ["query", "id"], ["phase"], 1).select("query", "id", F.round("score", 9).alias("score"), "why")
 
 
+def task_vectors(queries: DataFrame, symbols: DataFrame, dimensions: int = 64) -> DataFrame:
+    """query, model, vector: what a task means, by the vector of the best symbol it names (of equal
+    scores the lesser id). Tasks that name none, or none with a usable vector, have no row."""
+    usable = symbols.filter(vectors.valid("embedding") & (F.size("embedding") == dimensions)).select("id", "embedding_model", "embedding")
+    named = exact_hits(queries, symbols).join(usable, "id")
+    best = lookup.first_per(named, ["query"], [F.desc(F.round("score", 9)), "id"], 1)
+    return best.select("query", F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
+
+
+def vector_hits(asked: DataFrame, symbols: DataFrame, k: int = VECTOR_HITS) -> DataFrame:
+    """query, id, score, why of the k symbols of the model nearest to every task's vector. Symbols
+    without a usable vector of the same length take no part; a task without a vector has no hits."""
+    s = symbols.select("seq", "id", "kind", "package", "file", "embedding", "embedding_model")
+    q = asked.select(F.col("query").alias("seq"), F.col("vector").alias("embedding"), F.col("model").alias("embedding_model"))
+    near = vectors.nearest(s, q.withColumn("seq", -F.col("seq") - 1), k, "seq", "embedding_model").select((-F.col("query") - 1).alias("query"), F.col("neighbour").alias("seq"), "sim")
+    score = (F.round("sim", 9) * sc.num(VECTOR) + sc.kind_weight(F.col("kind")) + sc.impl_boost(F.col("kind"), F.col("package")) + sc.generated_penalty(F.col("file")))
+    return near.join(s.drop("embedding", "embedding_model"), "seq").select("query", "id", F.round(score, 9).alias("score"), F.lit("vector match").alias("why"))
+
+
+def with_vectors(found: DataFrame, queries: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Candidates and the vector hits that are not among them: recall is only ever added."""
+    hits = vector_hits(task_vectors(queries, symbols), symbols)
+    return found.select("query", "id", "score", "why").unionByName(hits.join(found.select("query", "id"), ["query", "id"], "left_anti"))
+
+
 def dedup_generated(rows: DataFrame) -> DataFrame:
     """Of copies in /gen/ folders (same last name and kind within a query) the backend's, else the best, stays."""
     key = ["query", text.last_name(F.col("id")), "kind"]

@@ -109,9 +109,21 @@ def lookup_elided(spark, sf_dir):
     return index.symbols(spark, sf_dir).select("id", text.elide(F.col("id"), MODULE).alias("short_id"), text.dirname(F.col("file")).alias("folder"))
 
 
+@query
+def lookup_expand_ids(spark, sf_dir):
+    s = index.symbols(spark, sf_dir)
+    ids = index.edges(spark, sf_dir).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return lookup.expand_ids(s, ids.select(F.explode(F.array(F.col("id"), text.elide(F.col("id"), MODULE))).alias("query")), MODULE)
+
+
 # bodies
 
 
+@query
+def body_rows(spark, sf_dir):
+    return reports.body_rows(index.symbols(spark, sf_dir), _short_ids(spark, sf_dir), MODULE)
+
+
 @query
 def body_contains(spark, sf_dir):
     s = index.symbols(spark, sf_dir)
@@ -291,9 +303,53 @@ def graph_degree(spark, sf_dir):
     return graph.degree(index.edges(spark, sf_dir))
 
 
+@query
+def graph_viz_callers(spark, sf_dir):
+    s = index.symbols(spark, sf_dir)
+    return graph.viz_towards(_roots(s), index.edges(spark, sf_dir), s, "callers", 2)
+
+
+@query
+def graph_viz_callees(spark, sf_dir):
+    s = index.symbols(spark, sf_dir)
+    return graph.viz_towards(_roots(s), index.edges(spark, sf_dir), s, "callees", 2)
+
+
 # retrieval
 
 
+def _short_tasks(spark, sf_dir):
+    """Shortened ids in the part of tasks: each asks for one identifier."""
+    ids = _short_ids(spark, sf_dir).select(F.xxhash64("query").alias("key"), F.col("query").alias("text"))
+    return index.query_texts(ids, "key", "text")
+
+
+@query
+def query_classes(spark, sf_dir):
+    """Tasks, documents and shortened ids by whether they ask for one identifier or for discovery."""
+    texts = table(spark, sf_dir, "task_manifest").select(F.lit("task").alias("source"), F.col("prompt").alias("text"))
+    texts = texts.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("source"), "text"))
+    texts = texts.unionByName(_short_ids(spark, sf_dir).select(F.lit("id").alias("source"), F.col("query").alias("text"))).filter("text is not null")
+    return texts.groupBy("source", F.when(text.is_precise(F.col("text")), "precise").otherwise("discovery").alias("class")).agg(F.count(F.lit(1)).alias("texts"))
+
+
+@query
+def context_precise(spark, sf_dir):
+    """Candidates of tasks that are one identifier: exact hits alone."""
+    q = _short_tasks(spark, sf_dir)
+    found = retrieval.candidates(q, index.symbols(spark, sf_dir))
+    return found.join(q.select("query", "prompt"), "query").select("prompt", "id", "score", "why")
+
+
+@query
+def context_vector(spark, sf_dir):
+    """What the vectors of named symbols add to the exact hits of the design documents."""
+    q = index.query_texts(table(spark, sf_dir, "documents").filter("doc_kind = 'design'"), "doc_id", "text")
+    s = index.symbols(spark, sf_dir)
+    found = checkpointed(retrieval.exact_hits(q, s))
+    return retrieval.with_vectors(found, q, s).filter("why = 'vector match'").select("query", "id", F.round("score", 6).alias("score"))
+
+
 def _context(spark, sf_dir, depth=1):
     return retrieval.context(index.tasks(spark, sf_dir), index.symbols(spark, sf_dir), index.edges(spark, sf_dir), depth)
 
@@ -471,6 +527,19 @@ def dml_delete_packages(spark, sf_dir):
     return maintenance.delete_edges(index.edges(spark, sf_dir), "calls", packages=packages)
 
 
+@query
+def dml_delete_prefix(spark, sf_dir):
+    packages = index.symbols(spark, sf_dir).filter(F.col("file").endswith(".proto")).select("package").distinct()
+    return maintenance.delete_edges_below(index.edges(spark, sf_dir), "calls", packages)
+
+
+@query
+def dml_update_vectors(spark, sf_dir):
+    base, changes = maintenance.versions(table(spark, sf_dir, "symbols"))
+    merged = maintenance.update_vectors(base, changes.filter("embedding is not null"))
+    return merged.select("id", "embedding_model", F.coalesce(F.size("embedding"), F.lit(-1)).alias("length"))
+
+
 @query
 def dml_delete_to_kind(spark, sf_dir):
     rpcs = index.symbols(spark, sf_dir).filter("kind = 'interface'")
@@ -479,8 +548,8 @@ def dml_delete_to_kind(spark, sf_dir):
 
 @query
 def dml_stale_files(spark, sf_dir):
-    read = table(spark, sf_dir, "read_events").select("file").distinct()
-    return maintenance.stale_files(index.symbols(spark, sf_dir), read, ".ts", ".tsx")
+    read = table(spark, sf_dir, "read_events").select(text.plain_path(F.col("file")).alias("file")).distinct()
+    return maintenance.stale_files(index.symbols(spark, sf_dir), read, ".go", ".ts", ".tsx", ".py")
 
 
 @query
@@ -545,6 +614,18 @@ def _ranks(spark, sf_dir):
     return evaluation.first_ranks(retrieval.ranked(rows), targets), evaluation.first_ranks(by_name, targets)
 
 
+@query
+def eval_violations(spark, sf_dir):
+    """Generated symbols are not to be among what a package's budget holds."""
+    rows = _ranked_files(spark, sf_dir)
+    return evaluation.violation_rate(retrieval.trimmed(retrieval.ranked(rows), 400), rows.filter(text.is_generated(F.col("file"))))
+
+
+@query
+def eval_averages(spark, sf_dir):
+    return evaluation.averages(retrieval.trimmed(retrieval.ranked(_ranked_files(spark, sf_dir)), 400))
+
+
 @query
 def eval_rank_delta(spark, sf_dir):
     return evaluation.rank_delta(*_ranks(spark, sf_dir))
@@ -560,12 +641,12 @@ def stream_policy(spark, sf_dir):
 
 @query
 def stream_tumbling(spark, sf_dir):
-    return streams.drain(streams.tumbling(streams.source(spark, sf_dir, "session_telemetry")), "tumbling", "complete")
+    return streams.drain(streams.tumbling(streams.closed(streams.source(spark, sf_dir, "session_telemetry"), "recorded_at")), "tumbling")
 
 
 @query
 def stream_debounce(spark, sf_dir):
-    return streams.drain(streams.debounced(streams.source(spark, sf_dir, "read_events")), "debounce", "complete")
+    return streams.drain(streams.debounced(streams.closed(streams.source(spark, sf_dir, "read_events"), "recorded_at")), "debounce")
 
 
 @query

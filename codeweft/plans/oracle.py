@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from codeweft.functions.scoring import KIND_WEIGHT
-from codeweft.functions.text import NO_TYPES, STOP_WORDS
-from codeweft.operators.policy import SOURCE
-
-_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+# Fixed values, stated here once more so that a slip in the library shows.
+_STOP = "'a', 'an', 'the', 'to', 'for', 'in', 'on', 'of', 'and', 'or', 'is', 'it', 'add', 'make', 'how', 'do', 'i', 'we', 'my'"
+_KEYWORDS = ("'Break', 'Case', 'Chan', 'Const', 'Continue', 'Default', 'Defer', 'Else', 'Fallthrough', 'For', 'Func', 'Go', 'Goto', 'If', "
+             "'Import', 'Interface', 'Map', 'Package', 'Range', 'Return', 'Select', 'Struct', 'Switch', 'Type', 'Var'")
+_SOURCE = "'.go', '.ts', '.tsx', '.js', '.jsx', '.proto', '.rs', '.py', '.java', '.c', '.cc', '.cpp', '.h', '.hpp', '.cs', '.rb', '.swift', '.kt'"
 
 
 def _ordered(expr: str) -> str:
@@ -36,7 +36,7 @@ _IDENTS = f"""list_filter(flatten(list_transform({_T}, lambda v: [CASE WHEN {_CO
        THEN {_LAST.format(w='v')} END])), lambda z: z IS NOT NULL)"""
 _DECOMPOSE = r"lower(ltrim(regexp_replace({w}, '([A-Z])', ' \1', 'g')))"
 _PARTS = f"flatten(list_transform(list_filter({_WORDS}, lambda w: {_COMPOUND.format(w='w')}), lambda w: str_split_regex({_DECOMPOSE.format(w='w')}, '\\s+')))"
-_TERMS = f"list_filter(str_split_regex(lower(regexp_replace(prompt, '[^A-Za-z0-9]', ' ', 'g')), ' +'), lambda w: w <> '' AND w NOT IN ({_LIST(STOP_WORDS)}))"
+_TERMS = f"list_filter(str_split_regex(lower(regexp_replace(prompt, '[^A-Za-z0-9]', ' ', 'g')), ' +'), lambda w: w <> '' AND w NOT IN ({_STOP}))"
 
 TASKS = f"""
 , raw AS (SELECT item_id AS query, prompt, {_IDENTS} AS idents0, list_filter({_T}, lambda w: strlen(w) >= 3) AS words, {_TERMS} AS terms0, {_PARTS} AS parts0
@@ -44,7 +44,8 @@ TASKS = f"""
 tasks AS (SELECT query, prompt, words, {_ordered('idents0')} AS idents, {_ordered('terms0')} AS terms, {_ordered('parts0')} AS parts FROM raw)
 """
 
-_KW = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in KIND_WEIGHT.items()) + " ELSE 0::DOUBLE END"
+_KW = ("CASE kind WHEN 'method' THEN 0.3::DOUBLE WHEN 'func' THEN 0.2::DOUBLE WHEN 'interface' THEN 0.1::DOUBLE WHEN 'struct' THEN -0.3::DOUBLE WHEN 'type' THEN -0.2::DOUBLE "
+       "WHEN 'const' THEN -0.2::DOUBLE WHEN 'var' THEN -0.2::DOUBLE WHEN 'field' THEN -0.6::DOUBLE ELSE 0::DOUBLE END")
 _IMPL = "CASE WHEN kind IN ('func', 'method') AND regexp_matches(lower(package), 'svc|server|service') THEN 0.5::DOUBLE ELSE 0::DOUBLE END"
 _PEN = "CASE WHEN file LIKE '%.pb.go' OR file LIKE '%.pb.gw.go' THEN -0.6::DOUBLE ELSE 0::DOUBLE END"
 _GEN = "(file LIKE '%.pb.go' OR file LIKE '%.pb.gw.go' OR contains(file, '/gen/'))"
@@ -127,19 +128,19 @@ folders AS (SELECT query, folder, sum(n)::BIGINT AS symbols, array_to_string(lis
 SELECT query, folder, symbols, kinds FROM folders QUALIFY count(*) OVER (PARTITION BY query) > 1
 """
 _CALL_IDENTS = r"list_filter(regexp_extract_all(body, '([A-Za-z0-9_]+)[ \t]*\(', 1), lambda x: regexp_matches(x, '^[A-Z]'))"
-_TYPE_IDENTS = r"list_filter(regexp_extract_all(regexp_replace(body, '[^A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Z][A-Za-z0-9_]{2,}$') AND regexp_matches(x, '[a-z]') AND x NOT IN (" + _LIST(NO_TYPES) + "))"
+_TYPE_IDENTS = r"list_filter(regexp_extract_all(regexp_replace(body, '[^A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Z][A-Za-z0-9_]{2,}$') AND regexp_matches(x, '[a-z]') AND x NOT IN (" + _KEYWORDS + "))"
 _CODE = f", code AS (SELECT DISTINCT id, seq, unnest({_CALL_IDENTS}) AS name FROM sym WHERE kind IN ('func', 'method')), top_names AS (SELECT id, name, seq FROM sym QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) <= 10)"
-_BODY_CALLERS = _CODE + ", bodycall AS (SELECT DISTINCT n.id, c.id AS other FROM code c JOIN top_names n USING (name) WHERE n.id <> c.id)"
-_REQ = r"split_part(regexp_replace(trim(regexp_extract(signature, '\(([^)]*)\)', 1)), '^stream\s+', ''), '.', -1)"
-_RESP = r"split_part(regexp_replace(trim(regexp_extract(signature, 'returns\s*\(([^)]*)\)', 1)), '^stream\s+', ''), '.', -1)"
+_BODY_CALLERS = r", called AS (SELECT DISTINCT id, unnest(regexp_extract_all(body, '([A-Za-z0-9_]+)[ \t]*\(', 1)) AS name FROM sym WHERE kind IN ('func', 'method')), bodycall AS (SELECT DISTINCT n.id, c.id AS other FROM called c JOIN sym n USING (name) WHERE n.id <> c.id)"
+_REQ = r"trim(regexp_extract(signature, '\(([^)]*)\)', 1))"
+_RESP = r"trim(regexp_extract(signature, 'returns[^(]*\(([^)]*)\)', 1))"
 _LAYER = f"CASE WHEN file LIKE '%.proto' THEN 'proto' WHEN {_GEN} THEN 'generated' WHEN file LIKE '%\\_test.go' ESCAPE '\\' THEN 'test' ELSE 'implementation' END"
 
 _IMPACT = _CODE.replace("top_names AS (SELECT id, name, seq", "names AS (SELECT id, name") + f"""
-, t AS (SELECT id AS target, name AS tname, kind AS tkind, signature FROM sym WHERE kind IN ('rpc', 'interface', 'service')),
+, t AS (SELECT id AS target, name AS tname, kind AS tkind, signature FROM sym WHERE kind <> 'field'),
 b14 AS (SELECT target, n.id, 1 AS branch FROM t JOIN names n ON n.name = tname
         UNION ALL SELECT target, n.id, 2 FROM (SELECT target, unnest([{_REQ}, {_RESP}]) AS m FROM t WHERE tkind = 'rpc') JOIN names n ON n.name = m WHERE m <> ''
         UNION ALL SELECT target, to_id, 3 FROM t JOIN impl ON from_id = target
-        UNION ALL SELECT target, from_id, 4 FROM t JOIN impl ON to_id = target),
+        UNION ALL SELECT target, from_id, 4 FROM t JOIN impl ON to_id = target WHERE tkind IN ('interface', 'rpc', 'service')),
 near14 AS (SELECT target, id, min(branch) AS branch FROM b14 WHERE id <> target GROUP BY ALL),
 seeds AS (SELECT target, id AS seed FROM near14 JOIN (SELECT id, kind, file FROM sym) USING (id) WHERE NOT {_GEN} AND kind NOT IN ('rpc', 'message', 'service', 'enum')
           UNION ALL SELECT target, target FROM t),
@@ -148,7 +149,7 @@ bodies AS (SELECT c.id, c.name FROM code c WHERE c.name IN (SELECT tname FROM t)
 found AS (SELECT target, id, min(branch) AS branch FROM (SELECT * FROM near14 UNION ALL SELECT * FROM b5 UNION ALL SELECT target, bodies.id, 6 FROM t JOIN bodies ON bodies.name = tname)
           WHERE id <> target GROUP BY ALL)
 """
-_EXPAND1 = """, seeds AS (SELECT id AS query, id FROM sym WHERE kind = 'interface'),
+_EXPAND1 = """, seeds AS (SELECT id AS query, id FROM sym),
 n1 AS (SELECT query, c.from_id AS id, 0.4::DOUBLE AS score FROM seeds s JOIN calls c ON c.to_id = s.id UNION ALL SELECT query, c.to_id, 0.3::DOUBLE FROM seeds s JOIN calls c ON c.from_id = s.id),
 h1 AS (SELECT query, id, max(score) AS score, 1 AS hop FROM n1 WHERE query <> id GROUP BY query, id)
 """
@@ -157,9 +158,9 @@ h2 AS (SELECT n2.query, n2.id, max(n2.score) AS score, 2 AS hop FROM n2 LEFT JOI
 """
 _DECIDE = f"""
 WITH ev AS (SELECT DISTINCT ON (event_no) * FROM read_events),
-a AS (SELECT *, lower(file) AS low, lower(coalesce(command_source, '')) AS cmd, coalesce(file_type, '') AS ft, coalesce(start_line > 0 AND end_line >= start_line, false) AS ranged FROM ev),
-b AS (SELECT *, CASE WHEN regexp_matches(cmd, 'hook|mcp') THEN 'exempt' WHEN regexp_matches(low, '/generated/|/gen/|\\.pb\\.go|_generated\\.go') THEN 'generated'
-     WHEN NOT (ft NOT IN ('binary', 'asset') AND ({_EXT.format(f='low')} IN ({_LIST(SOURCE)}) OR ft = 'source')) THEN 'non-source' WHEN ranged THEN 'targeted-source' ELSE 'whole-source' END AS class,
+a AS (SELECT *, lower(file) AS low, lower(coalesce(command_source, '')) AS cmd, lower(coalesce(file_type, '')) AS ft, coalesce(start_line > 0 AND end_line >= start_line, false) AS ranged FROM ev),
+b AS (SELECT *, CASE WHEN regexp_matches(cmd, 'hook|mcp') THEN 'exempt' WHEN regexp_matches(low, '/generated/|/gen/|\\.pb\\.go$|_generated\\.go$') THEN 'generated'
+     WHEN NOT (ft NOT IN ('binary', 'asset') AND ({_EXT.format(f='low')} IN ({_SOURCE}) OR ft = 'source')) THEN 'non-source' WHEN ranged THEN 'targeted-source' ELSE 'whole-source' END AS class,
      CASE WHEN ranged THEN end_line - start_line + 1 ELSE coalesce(file_lines, 0) END AS lines FROM a),
 c AS (SELECT *, CASE WHEN class = 'targeted-source' AND lines > 200 OR class = 'whole-source' AND lines > 350 THEN 'block' ELSE 'allow' END AS proposed FROM b),
 d AS (SELECT event_no, class, lines, proposed, proposed = 'allow' OR coalesce("override", false) AS allowed, coalesce("override", false) AND proposed = 'block' AS overridden FROM c)
@@ -206,7 +207,7 @@ SQL = {
     "lookup_by_file": BASE + "SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_start, seq) AS pos, id, line_start FROM sym",
     "lookup_ext_files": BASE + f"SELECT DISTINCT file FROM sym WHERE lower({_EXT.format(f='file')}) IN ('.ts', '.tsx')",
     "lookup_children_prefix": BASE + f"SELECT p.id AS parent, p.kind AS parent_kind, c.id, c.kind FROM sym c JOIN sym p ON p.id = {_PARENT.replace('id,', 'c.id,')} WHERE c.kind IN ('rpc', 'field', 'method')",
-    "lookup_name_contains": BASE + """, needles AS (SELECT DISTINCT needle FROM (SELECT regexp_extract(name, '^[A-Z][a-z]+([A-Z].*)$', 1) AS needle FROM sym WHERE kind IN ('func', 'method')) WHERE length(needle) >= 8)
+    "lookup_name_contains": BASE + """, needles AS (SELECT DISTINCT needle FROM (SELECT regexp_extract(name, '^[A-Z][a-z]+([A-Z].*)$', 1) AS needle FROM sym WHERE kind IN ('func', 'method')) WHERE needle <> '')
         SELECT needle, id, row_number() OVER (PARTITION BY needle ORDER BY length(name), id) AS pos FROM sym JOIN needles ON contains(lower(name), lower(needle)) AND name <> needle QUALIFY pos <= 25""",
     "lookup_fuzzy_tiered": BASE + rf""", q AS (SELECT DISTINCT regexp_extract(split_part(id, '/', -1), '([^.]+\.[^.]+)$', 1) AS query FROM (SELECT from_id AS id FROM edg UNION SELECT to_id FROM edg)),
         every AS (SELECT query, id, 1 AS tier, 0.0 AS score, seq FROM q JOIN sym ON id = query
@@ -238,17 +239,23 @@ df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL), asked AS (SELECT quer
 sc AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / avg))), 6) AS score FROM tf JOIN df USING (token) JOIN asked USING (token) JOIN lens USING (id), stat GROUP BY ALL)
 SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS pos, score FROM sc QUALIFY pos <= 10""",
     "graph_callers": BASE + "SELECT to_id AS id, from_id AS other FROM calls",
-    "graph_callees": BASE + "SELECT from_id AS id, to_id AS other FROM calls",
+    "graph_callees": BASE + _CODE.replace(" WHERE kind IN ('func', 'method')", "") + """SELECT from_id AS id, to_id AS other FROM calls
+        UNION ALL SELECT DISTINCT c.id, n.id FROM code c JOIN top_names n USING (name) WHERE c.id <> n.id AND c.id NOT IN (SELECT from_id FROM calls)""",
     "graph_implementors": BASE + "SELECT to_id AS id, from_id AS other FROM impl",
-    "graph_callers_tiered": BASE + _BODY_CALLERS + """, every AS (SELECT to_id AS id, from_id AS other, 1 AS tier, 'direct caller' AS why FROM calls
-        UNION ALL SELECT from_id, to_id, 2, CASE WHEN s.kind = 'rpc' THEN 'gRPC entry point: ' || s.signature ELSE 'implements interface' END FROM impl JOIN sym s ON s.id = to_id
-        UNION ALL SELECT id, other, 3, 'body reference (heuristic)' FROM bodycall)
-        SELECT id, other, tier, why FROM every QUALIFY tier = min(tier) OVER (PARTITION BY id)""",
+    "graph_callers_tiered": BASE + _BODY_CALLERS + """, linked AS (SELECT to_id AS id, from_id AS other, 1 AS tier, 'direct caller' AS why FROM calls
+        UNION ALL SELECT from_id, to_id, 2, CASE WHEN s.kind = 'rpc' THEN 'gRPC entry point: ' || s.signature ELSE 'implements interface' END FROM impl JOIN sym s ON s.id = to_id),
+        left_ AS (SELECT id, lower(name) AS low, name FROM sym WHERE id NOT IN (SELECT id FROM linked)),
+        rest AS (SELECT * FROM left_ WHERE strlen(name) >= 6 AND id NOT IN (SELECT id FROM bodycall)),
+        holds AS (SELECT low, c.id AS other FROM (SELECT DISTINCT low FROM rest) JOIN (SELECT id, seq, lower(body) AS text FROM sym WHERE kind IN ('func', 'method')) c ON contains(text, low)
+                  QUALIFY row_number() OVER (PARTITION BY low ORDER BY seq, c.id) <= 15)
+        SELECT * FROM linked QUALIFY tier = min(tier) OVER (PARTITION BY id)
+        UNION ALL SELECT id, other, 3, 'body reference (heuristic)' FROM bodycall WHERE id IN (SELECT id FROM left_)
+        UNION ALL SELECT id, other, 4, 'body reference (non-call)' FROM rest JOIN holds USING (low) WHERE id <> other""",
     "graph_flow": BASE + "SELECT to_id AS id, 'caller' AS role, from_id AS other FROM calls UNION ALL SELECT from_id, 'callee', to_id FROM calls",
     "graph_expand_1": BASE + _EXPAND1 + "SELECT query, id, score, hop FROM h1",
     "graph_expand_2": BASE + _EXPAND2 + "SELECT query, id, round(score, 6) AS score, hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
     "graph_viz_edges": BASE + _EXPAND1 + ", visited AS (SELECT query, id FROM seeds UNION SELECT query, id FROM h1) SELECT DISTINCT query AS root, from_id, to_id FROM visited JOIN calls ON id = from_id OR id = to_id",
-    "graph_viz_dot": BASE + """, v AS (SELECT DISTINCT s.id AS root, from_id, to_id FROM sym s JOIN calls ON s.id = from_id OR s.id = to_id WHERE s.kind = 'interface'),
+    "graph_viz_dot": BASE + """, v AS (SELECT DISTINCT s.id AS root, from_id, to_id FROM sym s JOIN calls ON s.id = from_id OR s.id = to_id),
         nodes AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY id) - 1 AS no FROM (SELECT root, from_id AS id FROM v UNION SELECT root, to_id FROM v)),
         nt AS (SELECT root, count(*) AS nodes, string_agg('n' || no || ' [label="' || split_part(id, '/', -1) || '"];', chr(10) ORDER BY no) AS t FROM nodes GROUP BY root),
         et AS (SELECT v.root, count(*) AS edges, string_agg('n' || a.no || ' -> n' || b.no || ';', chr(10) ORDER BY a.no, b.no) AS t FROM v JOIN nodes a ON a.root = v.root AND a.id = from_id JOIN nodes b ON b.root = v.root AND b.id = to_id GROUP BY v.root)
@@ -275,9 +282,14 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
     "impact_generic": BASE + _IMPACT + "SELECT target, id, branch FROM found",
     "impact_layers": BASE + _IMPACT + f"SELECT target, {_LAYER} AS layer, count(*) AS symbols FROM found JOIN (SELECT id, file FROM sym) USING (id) GROUP BY target, layer UNION ALL SELECT target, NULL, count(*) FROM found GROUP BY target",
     "impact_field": BASE + f""", f AS (SELECT id AS field, {_PARENT} AS message, array_to_string(list_transform(list_filter(string_split(name, '_'), lambda p: p <> ''), lambda p: upper(p[1:1]) || p[2:]), '') AS go FROM sym WHERE kind = 'field'),
-        d AS (SELECT f.*, m.name AS mname FROM f LEFT JOIN sym m ON m.id = message)
-        SELECT field, message AS id, 'declaring message' AS why FROM d WHERE mname IS NOT NULL
-        UNION ALL SELECT field, g.id, 'generated getter' FROM d JOIN sym g ON g.kind = 'method' AND g.name = 'Get' || go AND (mname IS NULL OR contains(g.id, '.' || mname || '.'))""",
+        d AS (SELECT f.*, m.name AS mname FROM f LEFT JOIN sym m ON m.id = message),
+        found AS (SELECT field, message AS id, 'declaring message' AS why FROM d WHERE mname IS NOT NULL
+        UNION ALL SELECT field, g.id, 'generated getter' FROM d JOIN sym g ON g.kind = 'method' AND g.name = 'Get' || go AND (mname IS NULL OR contains(g.id, '.' || mname || '.'))),
+        pats AS (SELECT field, go, unnest(['get' || lower(go) || '(', '.' || lower(go), lower(go) || ':']) AS pat FROM f WHERE go <> ''),
+        holds AS (SELECT pat, c.id FROM (SELECT DISTINCT pat FROM pats) JOIN (SELECT id, seq, lower(body) AS text FROM sym WHERE kind IN ('func', 'method')) c ON contains(text, pat)
+                  QUALIFY row_number() OVER (PARTITION BY pat ORDER BY seq, c.id) <= 15)
+        SELECT * FROM found UNION ALL SELECT DISTINCT field, h.id, 'references ' || go || ' (heuristic)' FROM pats JOIN holds h USING (pat)
+        WHERE h.id <> field AND NOT EXISTS (SELECT 1 FROM found x WHERE x.field = pats.field AND x.id = h.id)""",
     "pattern_slice": BASE + f""", links AS (SELECT m.id AS from_id, r.id AS to_id FROM sym r JOIN (SELECT * FROM sym WHERE kind = 'method' AND NOT {_GEN}) m USING (name) WHERE r.kind = 'rpc'
         QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY contains(m.package, 'svc') DESC, m.seq) = 1),
         msg AS (SELECT name, id FROM sym WHERE kind = 'message' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) = 1), r AS (SELECT id AS rpc, {_REQ} AS req, {_RESP} AS resp FROM sym WHERE kind = 'rpc')
@@ -294,7 +306,8 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
     "dml_delete_by_file": BASE + ", dead AS (SELECT id FROM cur WHERE file IN (SELECT file FROM symbol_deletes)) SELECT from_id, to_id, kind FROM edg WHERE from_id NOT IN (SELECT id FROM dead) AND to_id NOT IN (SELECT id FROM dead)",
     "dml_delete_packages": BASE + f", p AS (SELECT DISTINCT package FROM sym WHERE file LIKE '%.proto') SELECT from_id, to_id, kind FROM edg WHERE NOT (kind = 'calls' AND {_PARENT.replace('id,', 'from_id,')} IN (SELECT package FROM p))",
     "dml_delete_to_kind": BASE + "SELECT from_id, to_id, kind FROM edg WHERE NOT (kind = 'implements' AND to_id IN (SELECT id FROM sym WHERE kind = 'interface'))",
-    "dml_stale_files": BASE + f"SELECT DISTINCT file FROM sym WHERE {_EXT.format(f='file')} IN ('.ts', '.tsx') AND file NOT IN (SELECT file FROM read_events)",
+    "dml_stale_files": BASE + f"SELECT DISTINCT file FROM sym WHERE {_EXT.format(f='file')} IN ('.go', '.ts', '.tsx', '.py') AND file NOT IN (SELECT "
+        + r"regexp_replace(regexp_replace(file, '[\\/]+', '/', 'g'), '^(/work/checkout/|\./)', '') FROM read_events)",
     "dml_restore_vectors": _VERSIONS + """SELECT base.id, base.embedding_model, len(base.embedding) AS length FROM base JOIN chg USING (id)
         WHERE base.embedding IS NOT NULL AND base.embedding_model <> '' AND base.name = chg.name AND base.signature = chg.signature AND coalesce(base.docstring, '') = coalesce(chg.docstring, '')""",
     "dml_nearest_module": r"""WITH f AS (SELECT DISTINCT file FROM source_files), h AS (SELECT DISTINCT regexp_extract(file, '^([^/]+(?:/(?:web|proto|pkg|core|internal))?)/', 1) AS folder FROM f)
@@ -315,4 +328,56 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY ext ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
         SELECT ext, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS reads, count_if(start_line IS NULL)::BIGINT AS whole FROM s GROUP BY ext, no""",
     "stream_dedup": "SELECT DISTINCT ON (event_no) event_no, file FROM read_events",
+    "body_references": BASE + f""", w0 AS (SELECT id, list_concat({_CALL_IDENTS}, {_TYPE_IDENTS}) AS ws FROM sym WHERE kind IN ('func', 'method')),
+        w AS (SELECT id, name, min(p) AS p FROM (SELECT id, unnest(ws) AS name, generate_subscripts(ws, 1) AS p FROM w0) GROUP BY ALL),
+        target AS (SELECT id AS other, name, file, seq FROM sym QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) <= 10),
+        hits AS (SELECT id, other, min((p, seq)) AS spot FROM w JOIN target USING (name) WHERE id <> other AND NOT {_GEN} GROUP BY id, other)
+        SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY spot, other) AS pos FROM hits QUALIFY pos <= 10""",
+    "scalar_document_idents": "WITH " + TASKS.lstrip()[1:].replace("SELECT item_id AS query, prompt,", "SELECT doc_id AS query, prompt,").replace("FROM task_manifest WHERE", "FROM (SELECT doc_id, text AS prompt FROM documents) WHERE")
+        + "SELECT ident, count(*) AS documents, min(query) AS first_doc FROM (SELECT query, unnest(idents) AS ident FROM tasks) GROUP BY ident",
+    "vector_symbols": BASE + _TOPK.strip().replace("WITH v", ", v").format(key="seq", group="embedding_model", src="sym", length="= 64", n=10),
+    "impact_generated_copies": BASE + _IMPACT + f""", copies AS (SELECT target, s.id, branch, s.seq, s.kind, s.file, split_part(s.id, '.', -1) AS last FROM found JOIN sym s USING (id) WHERE {_GEN.replace('file', 's.file')}),
+        spots AS (SELECT *, row_number() OVER (PARTITION BY target, last, kind ORDER BY branch, seq, id) AS place, count(*) OVER (PARTITION BY target, last, kind) AS n FROM copies)
+        SELECT target, id, CASE WHEN n > 1 THEN '+' || (n - 1) || ' copies' ELSE '' END AS why FROM spots
+        QUALIFY row_number() OVER (PARTITION BY target, last, kind ORDER BY (place > 1 AND contains(file, 'backend')) DESC, place) = 1""",
+    "policy_class_map": _DECIDE + """, per AS (SELECT class, count(*) AS reads, count_if(proposed = 'block') AS blocks, count_if(NOT allowed) AS denied, count_if(overridden) AS overrides FROM d GROUP BY class)
+        SELECT sum(reads)::BIGINT AS total, sum(blocks)::BIGINT AS proposed_blocks, sum(denied)::BIGINT AS denied, sum(overrides)::BIGINT AS overrides,
+               '{' || string_agg('"' || class || '":' || reads, ',' ORDER BY class) || '}' AS classes FROM per""",
+    "proto_declarations": r"""WITH h AS (SELECT DISTINCT file, regexp_replace(head, '//[^\n]*', '', 'g') AS h FROM source_files WHERE lower(file) LIKE '%.proto' AND head IS NOT NULL),
+        m AS (SELECT file, unnest(regexp_extract_all(h, '(?m)^\s*(?:optional\s+|repeated\s+)?(?:map\s*<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+\s*(?:\[[^\]]*\])?\s*;')) AS line FROM h),
+        d AS (SELECT file, 'service' AS kind, unnest(regexp_extract_all(h, '\bservice\s+(\w+)\s*\{', 1)) AS name FROM h
+              UNION ALL SELECT file, 'rpc', unnest(regexp_extract_all(h, '\brpc\s+(\w+)\s*\(', 1)) FROM h
+              UNION ALL SELECT file, 'message', unnest(regexp_extract_all(h, '\bmessage\s+(\w+)\s*\{', 1)) FROM h
+              UNION ALL SELECT file, 'enum', unnest(regexp_extract_all(h, '\benum\s+(\w+)\s*\{', 1)) FROM h
+              UNION ALL SELECT file, 'field', regexp_extract(line, '(\w+)\s*=', 1) FROM m WHERE NOT regexp_matches(line, '^\s*(?:optional\s+|repeated\s+)?(?:message|option|return|package|syntax|reserved)\b'))
+        SELECT file, kind, count(*) AS n, min(name) AS first_name FROM d GROUP BY ALL""",
+    "lookup_expand_ids": BASE + """, e AS (SELECT from_id AS id FROM edg UNION SELECT to_id FROM edg),
+        q AS (SELECT DISTINCT query FROM (SELECT id AS query FROM e UNION ALL SELECT CASE WHEN starts_with(id, 'kestrel.example/') THEN id[17:] ELSE id END FROM e) WHERE query <> '')
+        SELECT query, coalesce(a.id, b.id) AS id FROM q LEFT JOIN sym a ON a.id = query LEFT JOIN sym b ON b.id = 'kestrel.example/' || query WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",
+    "graph_viz_callers": BASE + """, h AS (SELECT DISTINCT s.id AS root, from_id FROM sym s JOIN calls ON to_id = s.id)
+        SELECT DISTINCT to_id AS root, from_id, to_id FROM calls UNION SELECT root, c.from_id, c.to_id FROM h JOIN calls c ON c.to_id = h.from_id WHERE h.from_id <> root""",
+    "graph_viz_callees": BASE + """, h AS (SELECT DISTINCT s.id AS root, to_id FROM sym s JOIN calls ON from_id = s.id)
+        SELECT DISTINCT from_id AS root, from_id, to_id FROM calls UNION SELECT root, c.from_id, c.to_id FROM h JOIN calls c ON c.from_id = h.to_id WHERE h.to_id <> root""",
+    "query_classes": BASE + rf""", q AS (SELECT DISTINCT regexp_extract(split_part(id, '/', -1), '([^.]+\.[^.]+)$', 1) AS query FROM (SELECT from_id AS id FROM edg UNION SELECT to_id FROM edg)),
+        texts AS (SELECT 'task' AS source, prompt FROM task_manifest UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'id', query FROM q WHERE query <> ''),
+        words AS (SELECT source, {_WORDS} AS ws FROM texts WHERE prompt IS NOT NULL), w AS (SELECT source, len(ws) AS n, {_TRIM.format(w='ws[1]')} AS word FROM words)
+        SELECT source, CASE WHEN n = 1 AND ({_COMPOUND.format(w='word')} OR contains(word, '.')) THEN 'precise' ELSE 'discovery' END AS class, count(*) AS texts FROM w GROUP BY ALL""",
+    "context_precise": BASE + rf""", q AS (SELECT DISTINCT regexp_extract(split_part(id, '/', -1), '([^.]+\.[^.]+)$', 1) AS prompt FROM (SELECT from_id AS id FROM edg UNION SELECT to_id FROM edg)),
+        raw AS (SELECT prompt AS query, {_IDENTS} AS idents0, list_filter({_T}, lambda w: strlen(w) >= 3) AS words FROM q WHERE prompt <> ''),
+        tasks AS (SELECT query, words, {_ordered('idents0')} AS idents FROM raw)""" + _EXACT[:_EXACT.index("cand AS")].rstrip().rstrip(",") + " SELECT query AS prompt, id, round(score, 9) AS score, why FROM exacts",
+    "dml_delete_prefix": BASE + ", p AS (SELECT DISTINCT package FROM sym WHERE file LIKE '%.proto') SELECT from_id, to_id, kind FROM edg WHERE NOT (kind = 'calls' AND EXISTS (SELECT 1 FROM p WHERE starts_with(from_id, package)))",
+    "dml_update_vectors": _VERSIONS + """SELECT base.id, CASE WHEN chg.embedding IS NULL THEN base.embedding_model ELSE chg.embedding_model END AS embedding_model, coalesce(len(coalesce(chg.embedding, base.embedding)), -1) AS length
+        FROM base LEFT JOIN chg ON chg.id = base.id""",
+    "eval_violations": BASE + _LISTED.format(query="package") + _RANK.format(src="listed") + _TRIMMED.format(budget=400) + f"""
+        SELECT count(*) AS forbidden, count(t.id) AS violations, round(avg(CASE WHEN t.id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate
+        FROM (SELECT query, id FROM listed WHERE {_GEN}) f LEFT JOIN trimmed t ON t.query = f.query AND t.id = f.id""",
+    "eval_averages": BASE + _LISTED.format(query="package") + _RANK.format(src="listed") + _TRIMMED.format(budget=400) + """
+        SELECT count(*) AS queries, round(avg(n), 6) AS results, round(avg(tokens), 6) AS tokens FROM (SELECT query, count(*) AS n, max(used) AS tokens FROM trimmed GROUP BY query)""",
+    "context_vector": BASE + TASKS.replace("SELECT item_id AS query, prompt,", "SELECT doc_id AS query, prompt,").replace("FROM task_manifest WHERE", "FROM (SELECT doc_id, text AS prompt FROM documents WHERE doc_kind = 'design') WHERE")
+        + _EXACT[:_EXACT.index("cand AS")].rstrip().rstrip(",") + f""",
+        v AS (SELECT s.*, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM sym s WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        tv AS (SELECT x.query, v.embedding_model AS m, v.e AS q FROM exacts x JOIN v USING (id) QUALIFY row_number() OVER (PARTITION BY x.query ORDER BY round(x.score, 9) DESC, id) = 1),
+        near AS (SELECT query, id, kind, package, file, round(list_cosine_similarity(q, e), 9) AS sim FROM tv JOIN v ON embedding_model = m
+                 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, seq) <= 30)
+        SELECT query, id, round(sim * 1.5::DOUBLE + {_KW} + {_IMPL} + {_PEN}, 6) AS score FROM near WHERE NOT EXISTS (SELECT 1 FROM exacts x WHERE x.query = near.query AND x.id = near.id)""",
 }

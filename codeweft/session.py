@@ -51,7 +51,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table that ``checkpointed`` wrote and that nothing reads any more."""
+    """Delete a table that ``checkpointed`` wrote and that nothing reads any more; the shuffle files
+    that made it go with it, for Spark frees them when the driver collects their plans."""
     for file in df.inputFiles()[:1]:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    df.sparkSession._jvm.System.gc()

@@ -35,7 +35,7 @@ def query_texts(df: DataFrame, key: str, prompt: str) -> DataFrame:
     return (
         df.select(F.col(key).alias("query"), F.col(prompt).alias("prompt")).filter("prompt is not null")
         .select("query", "prompt", text.compound_idents(p).alias("idents"), text.query_words(p).alias("words"),
-                text.search_terms(p).alias("terms"), text.compound_parts(p).alias("parts"))
+                text.search_terms(p).alias("terms"), text.compound_parts(p).alias("parts"), F.coalesce(text.is_precise(p), F.lit(False)).alias("precise"))
         .withColumn("scoring", F.concat("terms", "parts"))
     )
 

