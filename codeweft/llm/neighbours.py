@@ -23,6 +23,9 @@ TREES, LEAF, STARTED = 6, 768, 4
 #: that each is told; most that meet at a node.
 KEPT, BEST, MEET = 16, 3, 48
 ROUNDS, LEAST_CHANGE = 7, 0.02
+#: Rounds of the search for pairs before it may end: one round without a new pair does not yet mean that
+#: lists have settled, and work stays in proportion to the rows.
+LEAST_ROUNDS = 6
 #: What rounding to four bits may take from a similarity.
 SLACK = 0.05
 SEED = 5
@@ -377,7 +380,7 @@ def _started(code: int, kind: np.dtype):
 
 
 def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: int = TREES, leaf: int = LEAF, started: int = STARTED,
-                    rounds: int = ROUNDS, least_change: float = LEAST_CHANGE, wanted: float = 2.0, best: int = BEST, reverse: int = KEPT, meet: int = MEET,
+                    rounds: int = ROUNDS, least_change: float = LEAST_CHANGE, wanted: float = 2.0, best: int = BEST, reverse: int = KEPT, meet: int = MEET, least_rounds: int = 1,
                     report=None) -> DataFrame:
     """src, dst, sim: k most similar rows of the same model for every row, by NN-descent.
 
@@ -387,7 +390,7 @@ def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: in
     that pointed to it; all that arrive at a node meet there, and of the pairs that are new to it each learns the
     nearest, and all of at least ``wanted``. Two shuffles a round, both linear in the nodes; work per node has a bound. Rounds end
     when fewer than ``least_change`` of the edges (of those of at least ``wanted``, where it is
-    given, when none) are new. report: called with the round and its edges.
+    given, when none after ``least_rounds``) are new. report: called with the round and its edges.
     """
     n, code = codes.agg(F.count(F.lit(1)), F.max(F.length("code"))).first()
     if not n:
@@ -407,7 +410,7 @@ def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: in
         if report:
             report(number, _edges(nodes, kind))
         told = _edges(nodes, kind).filter(F.col("sim") >= (wanted if wanted <= 1 else -2.0)).agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("new")).first()
-        if told["new"] <= (0 if wanted <= 1 else least_change * told["n"]):
+        if number >= least_rounds and told["new"] <= (0 if wanted <= 1 else least_change * told["n"]):
             break
     return _edges(nodes, kind).drop("fresh")
 
@@ -480,7 +483,7 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "seq", record: str =
     """
     codes = current_codes(rows, key, record, model, vector)
     groups = checkpointed(codes.groupBy("model", "code").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("n")))
-    graph = checkpointed(neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, wanted=least - SLACK, best=2, reverse=k, rounds=rounds))
+    graph = checkpointed(neighbour_graph(groups.select(F.col("node").alias(key), "model", "code"), key, k, wanted=least - SLACK, best=2, reverse=k, rounds=rounds, least_rounds=LEAST_ROUNDS))
     near = graph.filter(F.col("sim") >= least - SLACK).select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
     alike = groups.filter("n > 1").select(F.col("node").alias("x"), F.col("node").alias("y"))
     members = codes.join(groups.filter("n > 1"), ["model", "code"]).select("node", F.col(key).alias("member"))
