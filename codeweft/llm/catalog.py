@@ -73,6 +73,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.sharing_pairs(_shared_windows(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that share a span with others, by class: linear in the records."""
+    classes = spans.sharing_classes(_shared_windows(spark, sf_dir))
+    least = classes.groupBy("full").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("members"))
+    return classes.join(least, "full").groupBy("seq").agg(F.min("first_seq").alias("first_seq"), F.max("members").alias("members"), F.count(F.lit(1)).alias("classes"))
+
+
 def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.intervals(_shared_windows(spark, sf_dir))
 
@@ -107,7 +114,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_classes, p3_found, p3_neighbours, p3_search, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_intervals, p6_coverage,
+    p1_found, p1_classes, p3_found, p3_neighbours, p3_search, p4_tool_day_percentiles, p4_tool_percentiles, p4_merged_bounds, p5_found, p5_pairs, p6_found, p6_classes, p6_intervals, p6_coverage,
     p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_repaired)}
 
 _MEASURES = """

@@ -2,14 +2,14 @@
 
 Rabin-Karp hashes of all windows of a fixed length are rolled over every text. Of each run of
 consecutive windows that together span the least length looked for, the least hash stands for
-the run, so two texts with a common span of that length have a representative in common. Only
-windows whose representative is repeated are hashed at full length and counted; a repeated
-one lies in a shared span, and overlapping ones merge into maximal intervals.
+the run, so two texts with a common span of that length have a representative in common, and
+one row in some thirty goes into the counts. Windows whose representative is repeated are hashed at
+full length, in the same way with other character values, and counted; a repeated one lies in a
+shared span, and overlapping ones merge into maximal intervals.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +20,6 @@ from codeweft.session import checkpointed
 
 LEAST = 200
 WINDOW = 150
-#: A value that more than this part of all rows hold is treated as hot, so there are at most as many.
-MOST_HOT = 1_000
-#: Hash buckets in which rows are counted to find hot values.
-BUCKETS = 1 << 14
 #: Characters hashed at a time in a task, whole texts each (a longer text is taken alone).
 SLICE = 1 << 19
 
@@ -56,20 +52,27 @@ class Roller:
     def grow(self, n: int) -> None:
         self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
-    def representatives(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For every position of the texts laid end to end: whether a span of ``least`` starts
-        there and stays within its text, and the representative hash of that span."""
+    def windows(self, texts: list[str], length: int, values: int) -> np.ndarray:
+        """Hash of every window of ``length`` characters of the texts laid end to end. values: which
+        of the independent numberings of characters is hashed."""
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         n = len(codes)
-        if n < self.least:
-            return np.zeros(n, dtype=bool), np.zeros(n, dtype=np.uint64)
+        if n < length:
+            return np.zeros(0, dtype=np.uint64)
         if n + 1 > len(self.up):
             self.grow(2 * n)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_mix(codes + np.uint64(1)) * self.up[:n], dtype=np.uint64, out=sums[1:])
-        w = self.window
-        h = _mix((sums[w:] - sums[:-w]) * self.down[:n - w + 1])
+        np.cumsum(_mix(codes + np.uint64(values)) * self.up[:n], dtype=np.uint64, out=sums[1:])
+        return _mix((sums[length:] - sums[:-length]) * self.down[:n - length + 1])
+
+    def representatives(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For every position of the texts laid end to end: whether a span of ``least`` starts
+        there and stays within its text, and the representative hash of that span."""
+        n = sum(map(len, texts))
+        if n < self.least:
+            return np.zeros(n, dtype=bool), np.zeros(n, dtype=np.uint64)
+        h = self.windows(texts, self.window, 1)
         low, span = h, 1
         while 2 * span <= self.run:  # least of a run, by doubling
             low = np.minimum(low[:-span], low[span:])
@@ -126,61 +129,48 @@ def fingerprints(rows: DataFrame, key: str, text: str, window: int = WINDOW, lea
         run, f"fp long, `{key}` long, at int, n int")
 
 
-def _heavy(rows: DataFrame, by: str, most: int) -> DataFrame | None:
-    """Values of ``by`` (long) that more than 1 / most of all rows hold: fewer than ``most``, or none.
+def _repeated(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """Rows whose ``by`` (long) occurs with more than one key. rows: written, for they are read twice.
 
-    Counted exactly in two narrow passes: rows per hash bucket, combined before the shuffle
-    to at most ``BUCKETS`` rows a task; then rows per value, of overfull buckets only.
-    """
-    bucket = F.pmod(F.xxhash64(by), F.lit(BUCKETS))
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
-    total = sum(b["n"] for b in counts)
-    heavy = [b["bucket"] for b in counts if b["n"] > total / most]
-    if not heavy:
-        return None
-    return (rows.filter(bucket.isin(heavy)).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > total / most).select(by))
-
-
-def _repeated(rows: DataFrame, by: str, key: str, most: int = MOST_HOT) -> DataFrame:
-    """Rows whose ``by`` (long) occurs with more than one key. rows: written, for they are read several times.
-
-    Values held by more than 1 / most of all rows never meet in one task: their keys are
-    compared by an aggregate that is combined before its shuffle, and their rows stay where
-    they lie. The others take one shuffle, one sort and a window.
+    The keys of a value are compared by an aggregate that is combined before its shuffle, so no
+    value, however many rows hold it, meets in one task; rows are matched with the repeated values afterwards,
+    by a broadcast where adaptive execution finds them small, else by a join whose skewed parts it splits.
     """
-    heavy = _heavy(rows, by, most)
-    hot = None if heavy is None else F.broadcast(checkpointed(heavy))
-    w = Window.partitionBy(by)
-    cold = rows if hot is None else rows.join(hot, by, "left_anti")
-    cold = (cold.withColumn("least_key", F.min(key).over(w)).withColumn("most_key", F.max(key).over(w))
-            .filter("least_key < most_key").drop("least_key", "most_key"))
-    if hot is None:
-        return cold
-    held = rows.join(hot, by, "left_semi")
-    several = held.groupBy(by).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").select(by)
-    return cold.unionByName(held.join(F.broadcast(several), by, "left_semi"))
+    several = rows.groupBy(by).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").select(by)
+    return rows.join(several, by, "left_semi")
 
 
 def full_windows(rows: DataFrame, ranges: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """full, key, at, first: the hash of every span named in ranges; first marks its first place in the record."""
+    """full, key, at, first: the hash of every span named in ranges; first marks its first place in
+    the record. The ranges of a record are no more than its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller(least, least)
         for batch in batches:
-            hashes, keys, ats, firsts = [], [], [], []
-            for k, t, rs in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = set()
-                for r in sorted((r["at"], r["n"]) for r in rs):
-                    for i in range(r[0], r[0] + r[1]):
-                        h = hashlib.blake2b(t[i:i + least].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        hashes.append(h)
-                        keys.append(k)
-                        ats.append(i)
-                        firsts.append(h not in seen)
-                        seen.add(h)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.frombuffer(b"".join(hashes), dtype=np.int64)), pa.array(keys, type=pa.int64()),
-                pa.array(ats, type=pa.int32()), pa.array(firsts, type=pa.bool_())], names=["full", key, "at", "first"])
+            keys, texts, named = (c.to_pylist() for c in batch.columns)
+            at = 0
+            for ks, ts in _slices(keys, texts):
+                h = roller.windows(ts, least, 2)
+                lengths = np.array([len(t) for t in ts])
+                begin = np.cumsum(lengths) - lengths
+                start, count, owner = [], [], []
+                for i in range(len(ts)):
+                    for r in named[at + i]:
+                        start.append(r["at"])
+                        count.append(r["n"])
+                        owner.append(i)
+                at += len(ts)
+                start, count, owner = np.array(start), np.array(count), np.array(owner)
+                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                place, own = np.repeat(start, count) + inner, np.repeat(owner, count)
+                full = h[begin[own] + place].view(np.int64)
+                order = np.lexsort((place, full, own))
+                lead = np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (full[order][1:] != full[order][:-1])])
+                first = np.zeros(len(full), dtype=bool)
+                first[order[lead]] = True
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(full), pa.array(np.array(ks, dtype=np.int64)[own]), pa.array(place.astype(np.int32)), pa.array(first)],
+                    names=["full", key, "at", "first"])
 
     per = ranges.groupBy(key).agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
     return rows.select(key, text).join(per, key).dropDuplicates([key]).mapInArrow(
@@ -204,11 +194,12 @@ def shared_windows(rows: DataFrame, current: DataFrame, key: str = "seq", text:
     return checkpointed(_repeated(full, "full", key))
 
 
-def sharing_pairs(shared: DataFrame, key: str = "seq") -> DataFrame:
-    """seq_a < seq_b of the records that have a span in common.
+def sharing_classes(shared: DataFrame, key: str = "seq") -> DataFrame:
+    """full, key: one class for every set of records that have a span in common, and its members.
+    However many records hold a span, there are as many rows; sharing_pairs writes the pairs out.
 
     A long common span makes hundreds of groups of the same members; one group stands for
-    all that have the same count and sums over their members, and only it is paired.
+    all that have the same count and sums over their members.
     """
     once = shared.filter("first")
     hashed = F.xxhash64(key)
@@ -216,7 +207,12 @@ def sharing_pairs(shared: DataFrame, key: str = "seq") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"),
         F.bit_xor(hashed).alias("x"), F.sum(F.shiftrightunsigned(hashed, 24)).alias("s"))
     standing = groups.groupBy("n", "lo", "hi", "x", "s").agg(F.min("full").alias("full")).select("full")
-    members = once.join(standing, "full", "left_semi").select("full", key)
+    return once.join(standing, "full", "left_semi").select("full", key)
+
+
+def sharing_pairs(shared: DataFrame, key: str = "seq") -> DataFrame:
+    """seq_a < seq_b of the records that have a span in common, each pair once."""
+    members = sharing_classes(shared, key)
     a, b = members.withColumnRenamed(key, "seq_a"), members.withColumnRenamed(key, "seq_b")
     return a.join(b, "full").filter("seq_a < seq_b").select("seq_a", "seq_b").distinct()
 
