@@ -1,9 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary by merge replay.
 
-Each task keeps the distinct words of the texts it meets. For the words not met before it
-lays their bytes end to end, builds an index from token pair to positions, and applies the
-merges in rank order; a merge touches only the positions of its pair and their neighbours.
-A merge makes only pairs of later rank, so one ascending sweep equals encoding each word.
+The distinct words of the corpus are counted in Spark. Over the table of words, not over the
+texts, an index from token pair to positions applies the merges in rank order; a merge touches only the
+positions of its pair and their neighbours. A merge makes only pairs of later rank, so one
+ascending sweep equals encoding each word. The ids of the words then go to the texts.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ import heapq
 import itertools
 import json
 import os
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-#: Words of the cache of a task; beyond it the cache starts anew (words are encoded again).
+#: Most frequent words of the corpus whose ids are sent to all tasks (some 10 MB); the rest, each of
+#: them rare, is replayed where it is met.
+FREQUENT_WORDS = 500_000
+#: Rare words of the cache of a task; beyond it the cache starts anew (words are encoded again).
 CACHE_WORDS = 400_000
 #: Where the vocabulary files lie, and how a byte-level BPE splits a text before its merges
 #: (fixed value of the public tokenizer).
@@ -128,35 +132,77 @@ class MergeReplay:
         return out
 
 
-def encode_corpus(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how often every word occurs in the corpus. Each task counts its own words first,
+    so that what is shuffled are the distinct words of tasks, not the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = regex.compile(WORD_PATTERN).findall, Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    counts.update(split(t))
+            if len(counts) > CACHE_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def replayed(words: DataFrame, vocabulary) -> DataFrame:
+    """word, ids of distinct words: every partition is a shard of the table with an index of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = MergeReplay(*vocabulary.value)
+        for batch in batches:
+            ids = replay.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def encode_corpus(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
     """key and ids (array<int>) of every row; other columns are not read.
 
     Null and empty texts give an empty list. The strings of special tokens are ordinary
-    text. No shuffle: each task replays the merges over the distinct words of its own
-    texts; the vocabulary (a fixed size) is read once on the driver and broadcast.
+    text. The texts are never shuffled: the words of the corpus are (combined by task), the ids of the
+    ``frequent`` most frequent go to all tasks, and rarer words are replayed in the tasks that meet them.
+    The vocabulary (a fixed size) is read once on the driver and broadcast.
     """
     loaded = load_vocabulary(path or f"{VOCABULARIES}/byte_bpe_50k.json")
-    shared = docs.sparkSession.sparkContext.broadcast(loaded)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(loaded)
+    words = corpus_words(docs, text).orderBy(F.desc("n"), "word").limit(frequent)
+    table = replayed(words, shared).toArrow()  # at most ``frequent`` words
+    known = context.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(*shared.value)
         split = regex.compile(WORD_PATTERN).findall
-        cache: dict[str, list[int]] = {}
+        names, lists = known.value
+        flat, bounds = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+        cache: dict[str, list[int]] = {w: flat[a:b] for w, a, b in zip(names.to_pylist(), bounds, bounds[1:])}
+        rare: dict[str, list[int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [split(t) if t else [] for t in part.column(1).to_pylist()]
                 new = set(itertools.chain.from_iterable(texts)).difference(cache)
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache = {}
-                    new = set(itertools.chain.from_iterable(texts))
-                cache.update(replay.encode(new))
+                if new:
+                    for w in rare if len(rare) + len(new) > CACHE_WORDS else ():
+                        cache.pop(w)
+                    rare = rare if len(rare) + len(new) <= CACHE_WORDS else {}
+                    new = set(itertools.chain.from_iterable(texts)).difference(cache)
+                    more = replay.encode(new)
+                    rare.update(more)
+                    cache.update(more)
                 look = cache.__getitem__
                 ids = [list(itertools.chain.from_iterable(map(look, words))) for words in texts]
                 lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
+                flat_ids = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
