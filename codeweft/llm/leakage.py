@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 MIN_WORDS = 12
-#: Most words of test material that may be sent to all tasks (about 100 MB as arrays).
-MOST_TEST_WORDS = 5_000_000
+#: Bytes of test material that are sent to all tasks at a time (about 100 MB as arrays).
+BLOCK_BYTES = 20_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,20 +108,30 @@ def _bound(seq: np.ndarray, order: np.ndarray, tests: np.ndarray, at: np.ndarray
     return lo
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, words (length of the longest common passage), doc_word, item_word
     (where it starts, counted in words from 0) for every document and item that share at
     least ``min_words`` consecutive words.
 
     A word is a maximal run of ASCII letters and digits, compared without regard to case.
     Null and empty texts and items of fewer words match nothing. Items that are repeated
-    or overlap are each reported. No shuffle; the items (a stated, checked bound) go to all
-    tasks, the corpus never leaves its partitions.
+    or overlap are each reported. No shuffle; the corpus never leaves its partitions. The items go
+    to all tasks in blocks of about ``block_bytes``, as many blocks as they need, one pass over the
+    corpus for each.
     """
     rows = items.select("item_id", "prompt").filter("item_id is not null and prompt is not null")
     size = rows.agg(F.sum(F.octet_length("prompt"))).first()[0] or 0
-    if size > 4 * MOST_TEST_WORDS:
-        raise ValueError(f"{size} bytes of test items exceed the bound for sending them to every task; search them in parts")
+    blocks = max(1, -(-size // block_bytes))
+    found = None
+    for n in range(blocks):
+        block = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
+        part = _find_leaks(docs, block, min_words)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _find_leaks(docs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+    """The leaks of one block of items."""
     local = rows.toPandas()
     data, bounds = _column_bytes(pa.array(local["prompt"], type=pa.large_string()))
     starts, hashes = word_hashes(data, bounds)
