@@ -28,7 +28,6 @@ PAIRS = (
     ("cp1252", "cp437"), ("latin_1", "cp437"), ("cp1252", "cp850"), ("latin_1", "cp850"), ("cp1252", "mac_roman"), ("latin_1", "mac_roman"),
 )
 _EAST = ("euc_jp", "cp932", "gbk", "euc_kr", "big5")
-LAYERS = 5
 #: A word whose cost is at least this shows garbled characters even where no round trip succeeds.
 LOST = 1.5
 #: Least drop of the cost for which a round trip through older encodings is accepted.
@@ -265,7 +264,8 @@ def repair_word(word: str, split: bool = True) -> tuple[str, list[str], bool]:
     start = word
     if split and word[-1:] == "Ã" and (got := _step(word + "\xa0")):  # its second byte went as white space
         return got[0], [got[1]], True
-    while len(layers) < LAYERS and not word.isascii() and (got := _step(word)):
+    # each layer taken off makes the word shorter or lowers its cost, so this ends
+    while not word.isascii() and (got := _step(word)):
         word = got[0]
         layers.append(got[1])
     if split and not layers and cost(word) > 0:
