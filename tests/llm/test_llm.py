@@ -88,11 +88,20 @@ def test_encode_corpus_cases(spark):
     by = {r.doc_id: r.ids for r in got}
     assert len(got) == 5 and by[1] == [] and by[2] == [] and by[3] == [31373, 995] and len(by[4]) > 100
     assert tokenize.encode_corpus(df.limit(0)).count() == 0
+    for few in (0, 1):  # words beyond the frequent ones are replayed where they are met
+        assert sorted((r.doc_id, r.ids) for r in tokenize.encode_corpus(df, frequent=few).collect()) == sorted((r.doc_id, r.ids) for r in got)
 
 
 # leaks
 
 
+def test_leaks_in_blocks_of_items(spark):
+    items = spark.createDataFrame([(i, f"common start of item {i} " + " ".join(f"w{i}x{j}" for j in range(14))) for i in range(9)], "item_id long, prompt string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), "prompt", F.lit(" after")).alias("text"))
+    whole = sorted(map(tuple, leakage.find_leaks(docs, items).collect()))
+    assert len(whole) == 9 and sorted(map(tuple, leakage.find_leaks(docs, items, block_bytes=200).collect())) == whole
+
+
 def naive_leaks(docs, items, n=12):
     import re
 
@@ -164,6 +173,13 @@ def test_nested_layers():
     assert garble.repair(twice, {})[0] == "n’a été"
 
 
+def test_seven_layers():
+    text = "été"
+    for _ in range(7):
+        text = text.encode().decode("latin-1")
+    assert garble.repair(text, {})[0] == "été"
+
+
 def test_garbled_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "cafÃ©"), (4, "cafÃ©"), (5, "caf�"), (6, "café " * 5000), (7, "Ã©t" * 4000)], "doc_id long, text string").withColumn("layers", F.lit("clash"))
     got = garble.find_garbled(df).collect()
@@ -262,9 +278,7 @@ def test_repeated_values_hot_and_cold(spark):
     for fp, k, _ in rows:
         keys.setdefault(fp, set()).add(k)
     want = sorted(r for r in rows if r[0] is not None and len(keys[r[0]]) > 1)
-    assert {r.fp for r in spans._heavy(df, "fp", 10).collect()} == {7, 8}
-    for most in (1, 10, 1000):
-        assert sorted(tuple(r) for r in spans._repeated(df.filter("fp is not null"), "fp", "seq", most).collect()) == want
+    assert sorted(tuple(r) for r in spans._repeated(df.filter("fp is not null"), "fp", "seq").collect()) == want
 
 
 # neighbours
@@ -286,6 +300,26 @@ def test_similar_pairs_recall(spark):
     assert neighbours.similar_pairs(df.limit(0), 0.9).count() == 0
 
 
+def test_graph_and_search_recall(spark):
+    """Recall of the graph and of the greedy search against brute force, and what the rounds add to the start."""
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((4000, 16)) @ rng.standard_normal((16, 64)) + 0.5 * rng.standard_normal((4000, 64))).astype(np.float32)
+    x[2000:2400] = x[0] + 0.01 * rng.standard_normal((400, 64))  # a dense cluster, larger than what a node keeps
+    df = spark.createDataFrame([(i, f"s{i}", v.tolist(), "m") for i, v in enumerate(x)], "seq long, id string, embedding array<float>, embedding_model string")
+    codes = neighbours.current_codes(df, "seq", "id", "embedding_model", "embedding", 8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(0, 4000, 40) for j in np.argsort(-s[i])[:10] if s[i, j] < 0.99}
+    recall = lambda rows: len(want & {tuple(r)[:2] for r in rows}) / len(want)
+    start = recall(neighbours.neighbour_graph(codes, trees=2, leaf=64, rounds=0).collect())
+    graph = neighbours.neighbour_graph(codes, trees=2, leaf=64)
+    after = recall(graph.collect())
+    assert start < 0.6 and after >= 0.9
+    queries = codes.filter("seq % 40 = 0").select(F.col("seq").alias("query"), "model", "code")
+    assert recall(neighbours.greedy_search(graph, codes, queries).collect()) >= 0.9
+
+
 # source classes
 
 
