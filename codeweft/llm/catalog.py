@@ -40,20 +40,20 @@ def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_tool_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["metric", "tool", "day"]
-    keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value")
-    return percentiles.wide(percentiles.select(keys, groups, list(percentiles.QUANTILES.values())), groups)
+    keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value", whole=True)
+    return percentiles.wide(percentiles.select(keys, groups, list(percentiles.QUANTILES.values()), whole=True), groups)
 
 
 def p4_tool_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["metric", "tool"]
-    keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value")
-    return percentiles.wide(percentiles.select(keys, groups, list(percentiles.QUANTILES.values())), groups)
+    keys = percentiles.keyed(percentiles.measures(table(spark, sf_dir, "session_telemetry")), groups, "value", whole=True)
+    return percentiles.wide(percentiles.select(keys, groups, list(percentiles.QUANTILES.values()), whole=True), groups)
 
 
 def p4_merged_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = percentiles.day_states(table(spark, sf_dir, "session_telemetry"))
     groups = ["metric", "tool"]
-    return percentiles.bounds(percentiles.merge(states, groups), groups, list(percentiles.QUANTILES.values()))
+    return percentiles.bounds(percentiles.merge(states, groups), groups, list(percentiles.QUANTILES.values()), whole=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,32 @@ ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 
+_CURRENT = "SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
+_SPANS = f"""
+WITH cur AS ({_CURRENT}),
+w AS (SELECT seq, at, substr(body, at + 1, 200) AS span FROM (SELECT seq, body, unnest(range(0, length(body) - 199)) AS at FROM cur WHERE length(body) >= 200)),
+rep AS (SELECT span FROM w GROUP BY span HAVING min(seq) < max(seq)), sh AS (SELECT w.* FROM w JOIN rep USING (span))
+"""
+_INTERVALS = """
+, f AS (SELECT seq, at, CASE WHEN at > lag(at) OVER (PARTITION BY seq ORDER BY at) + 200 THEN 1 ELSE 0 END AS fresh FROM sh),
+p AS (SELECT seq, at, sum(fresh) OVER (PARTITION BY seq ORDER BY at) AS part FROM f),
+iv AS (SELECT seq, min(at)::INTEGER AS start, (max(at) + 200)::INTEGER AS "end" FROM p GROUP BY seq, part)
+"""
+
 ORACLE = {
+    "p3_found": f"""WITH v AS (SELECT seq, embedding_model AS m, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM ({_CURRENT})
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+        SELECT a.seq AS seq_a, b.seq AS seq_b FROM v a JOIN v b ON a.m = b.m AND a.seq < b.seq WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p4_merged_bounds": """WITH once AS (SELECT DISTINCT event_no, recorded_at, tool, duration_ms, estimated_tokens FROM session_telemetry),
+        m AS (SELECT 'duration_ms' AS metric, lower(trim(tool)) AS tool, CAST(duration_ms AS BIGINT) AS v FROM once UNION ALL SELECT 'estimated_tokens', lower(trim(tool)), CAST(estimated_tokens AS BIGINT) FROM once),
+        b AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) * 1024 + (v >> greatest(length(bin(v)) - 9, 0)) END AS bucket,
+                     row_number() OVER (PARTITION BY metric, tool ORDER BY v) AS r, count(*) OVER (PARTITION BY metric, tool) AS n FROM m WHERE v >= 0),
+        t AS (SELECT metric, tool, q, n, bucket FROM b, (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS q) WHERE r = greatest(ceil(q * n), 1))
+        SELECT t.metric, t.tool, q, t.n, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high FROM t JOIN b ON b.metric = t.metric AND b.tool IS NOT DISTINCT FROM t.tool AND b.bucket = t.bucket GROUP BY ALL""",
+    "p6_found": _SPANS + "SELECT DISTINCT a.seq AS seq_a, b.seq AS seq_b FROM sh a JOIN sh b ON a.span = b.span AND a.seq < b.seq",
+    "p6_intervals": _SPANS + _INTERVALS + "SELECT * FROM iv",
+    "p6_coverage": _SPANS + _INTERVALS + """, per AS (SELECT seq, sum("end" - start)::BIGINT AS shared FROM iv GROUP BY seq)
+        SELECT seq, coalesce(shared, 0) AS shared, coalesce(length(body), 0) AS chars, CASE WHEN length(body) > 0 THEN coalesce(shared, 0) / length(body) ELSE 0 END AS share FROM cur LEFT JOIN per USING (seq)""",
     "p4_tool_day_percentiles": _MEASURES.format(groups="metric, tool, day"),
     "p4_tool_percentiles": _MEASURES.format(groups="metric, tool"),
     "p8_found": _LEAKS + "SELECT doc_id, item_id FROM found",

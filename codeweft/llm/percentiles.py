@@ -1,6 +1,7 @@
 """Percentiles of very large numeric columns by radix selection.
 
-Values become order-preserving integers (the bits of a double, negatives inverted). Per
+Values become order-preserving integers: the bits of a double, negatives inverted; whole numbers
+are their own. Per
 group a histogram of the leading bits is counted; only the bucket that holds a target rank
 is opened and counted by its next bits, until it holds a single value. Histograms of
 separate days or partitions add up bucket by bucket.
@@ -37,18 +38,34 @@ def key_value(k: pd.Series) -> pd.Series:
     return pd.Series(bits.view("float64")).mask(k.isna().to_numpy())
 
 
-def _bucket(bits: int):
-    return F.shiftright("key", 64 - bits)
+def _bucket(bits: int, whole: bool = False):
+    """The leading bits of a key: of the double's 64, or of those that a whole number has from its
+    highest on (FIRST_BITS less the twelve of sign and exponent after that)."""
+    if not whole:
+        return F.shiftright("key", 64 - bits)
+    if bits > 64:
+        return F.col("key")
+    size = F.abs(F.greatest(F.col("key"), F.lit(-(2**63 - 1))))
+    high = F.coalesce(F.floor(F.log2(size.cast("double"))), F.lit(-1)).cast("int")  # any monotone estimate does
+    top = F.call_function("shiftright", size, F.greatest(high - (bits - 12), F.lit(0)))
+    place = (high + 1).cast("long") * (1 << bits - 10) + top
+    return F.when(F.col("key") < 0, -place).otherwise(place)
 
 
-def keyed(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """groups and key of every row whose value is neither null nor NaN."""
-    return df.select(*groups, order_key(F.col(value).cast("double")).alias("key")).filter("key is not null")
+def keyed(df: DataFrame, groups: list[str], value: str, whole: bool = False) -> DataFrame:
+    """groups and key of every row whose value is neither null nor NaN. whole: the value is an
+    integer column (bigint, int) and is exact to its last digit."""
+    key = F.col(value).cast("long") if whole else order_key(F.col(value).cast("double"))
+    return df.select(*groups, key.alias("key")).filter("key is not null")
 
 
-def histogram(keys: DataFrame, groups: list[str], bits: int = FIRST_BITS) -> DataFrame:
+def _value(key: str, whole: bool):
+    return F.col(key) if whole else key_value(key)
+
+
+def histogram(keys: DataFrame, groups: list[str], bits: int = FIRST_BITS, whole: bool = False) -> DataFrame:
     """Mergeable state: per group and bucket of leading bits the count, least and greatest key."""
-    return keys.groupBy(*groups, _bucket(bits).alias("bucket")).agg(
+    return keys.groupBy(*groups, _bucket(bits, whole).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
@@ -75,13 +92,13 @@ def _locate(state: DataFrame, groups: list[str], quantiles: list[float]) -> Data
     )
 
 
-def bounds(state: DataFrame, groups: list[str], quantiles: list[float]) -> DataFrame:
+def bounds(state: DataFrame, groups: list[str], quantiles: list[float], whole: bool = False) -> DataFrame:
     """Percentiles from a state alone: the value lies between low and high, at most 2**-8 apart."""
     return _locate(state, groups, quantiles).select(
-        *groups, "q", F.col("total").alias("n"), key_value("lo").alias("low"), key_value("hi").alias("high"))
+        *groups, "q", F.col("total").alias("n"), _value("lo", whole).cast("double").alias("low"), _value("hi", whole).cast("double").alias("high"))
 
 
-def select(keys: DataFrame, groups: list[str], quantiles: list[float]) -> DataFrame:
+def select(keys: DataFrame, groups: list[str], quantiles: list[float], whole: bool = False) -> DataFrame:
     """Exact nearest-rank percentiles: groups, q, n, value.
 
     keys: output of ``keyed``; it is written once, as narrow columns, and read once per pass,
@@ -89,17 +106,17 @@ def select(keys: DataFrame, groups: list[str], quantiles: list[float]) -> DataFr
     without values give no row; ties and repeats count each; an empty table gives none.
     """
     keys = checkpointed(keys)
-    found = checkpointed(_locate(histogram(keys, groups), groups, quantiles))
+    found = checkpointed(_locate(histogram(keys, groups, whole=whole), groups, quantiles))
     done, bits = [found.filter("lo = hi")], FIRST_BITS
     open_ = found.filter("lo < hi")
-    rest = keys.withColumn("bucket", _bucket(bits))
-    while bits < 64 and not open_.isEmpty():
+    rest = keys.withColumn("bucket", _bucket(bits, whole))
+    while not open_.isEmpty():
         buckets = open_.select(*groups, "bucket").distinct()
         a, b = rest.alias("a"), buckets.alias("b")
         same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
         rest = a.join(b, [*same, F.col("a.bucket") == F.col("b.bucket")], "left_semi")
-        bits = min(64, bits + NEXT_BITS)
-        sub = rest.groupBy(*groups, F.col("bucket").alias("parent"), _bucket(bits).alias("bucket")).agg(
+        bits = bits + NEXT_BITS if whole else min(64, bits + NEXT_BITS)
+        sub = rest.groupBy(*groups, F.col("bucket").alias("parent"), _bucket(bits, whole).alias("bucket")).agg(
             F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         w = Window.partitionBy(*groups, "parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = sub.withColumn("upto", F.sum("n").over(w)).alias("s")
@@ -112,11 +129,11 @@ def select(keys: DataFrame, groups: list[str], quantiles: list[float]) -> DataFr
                     F.expr("t.rank - s.upto + s.n").alias("rank")))
         done.append(found.filter("lo = hi"))
         open_ = found.filter("lo < hi")
-        rest = rest.withColumn("bucket", _bucket(bits))
+        rest = rest.withColumn("bucket", _bucket(bits, whole))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*groups, "q", F.col("total").alias("n"), key_value("lo").alias("value"))
+    return out.select(*groups, "q", F.col("total").alias("n"), _value("lo", whole).alias("value"))
 
 
 METRICS = ("duration_ms", "estimated_tokens")
@@ -131,10 +148,10 @@ def measures(telemetry: DataFrame) -> DataFrame:
     no measurements; zero and very large ones are.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for m in METRICS])
-    once = telemetry.select("event_no", "recorded_at", "tool", *METRICS).groupBy("event_no").agg(
-        F.max(F.struct("recorded_at", "tool", *METRICS)).alias("e")).select("e.*")
+    once = telemetry.select("event_no", "recorded_at", "tool", *METRICS).distinct()
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros("recorded_at") / 86_400_000_000).cast("int"))  # whatever the session's time zone
     return (
-        once.select(F.lower(F.trim("tool")).alias("tool"), F.to_date("recorded_at").alias("day"), F.explode(pairs).alias("p"))
+        once.select(F.lower(F.trim("tool")).alias("tool"), day.alias("day"), F.explode(pairs).alias("p"))
         .select("p.metric", "tool", "day", "p.value").filter("value >= 0")
     )
 
@@ -148,4 +165,4 @@ def wide(rows: DataFrame, groups: list[str]) -> DataFrame:
 def day_states(telemetry: DataFrame) -> DataFrame:
     """The state of every metric, tool and day, to be kept and merged."""
     groups = ["metric", "tool", "day"]
-    return histogram(keyed(measures(telemetry), groups, "value"), groups)
+    return histogram(keyed(measures(telemetry), groups, "value", whole=True), groups, whole=True)

@@ -49,6 +49,17 @@ def test_select_is_exact_and_states_merge(spark):
     assert percentiles.select(keys.limit(0), ["g"], qs).count() == 0
 
 
+def test_whole_numbers_are_exact(spark):
+    rnd = random.Random(3)
+    vs = [rnd.choice([rnd.randrange(10), rnd.randrange(2**62), 2**53 + rnd.randrange(5), 2**62 + rnd.randrange(2**20), -rnd.randrange(2**60), -rnd.randrange(9)]) for _ in range(2000)] + [2**63 - 1, 0]
+    keys = percentiles.keyed(spark.createDataFrame([("a", v) for v in vs], "g string, v long"), ["g"], "v", whole=True)
+    qs = [i / 40 for i in range(1, 41)]
+    got = {r.q: r.value for r in percentiles.select(keys, ["g"], qs, whole=True).collect()}
+    assert got == {q: sorted(vs)[max(1, math.ceil(q * len(vs))) - 1] for q in qs}
+    for r in percentiles.bounds(percentiles.histogram(keys, ["g"], whole=True), ["g"], qs, whole=True).collect():
+        assert r.low <= float(got[r.q]) <= r.high and r.high - r.low <= abs(got[r.q]) / 128 + 1e-9
+
+
 def test_measures_cases(spark):
     t = dt.datetime(2025, 1, 1, 5)
     rows = [(1, t, " Get_Body ", 5, 7), (1, t, " Get_Body ", 5, 7), (2, t, None, -1, 0), (3, t, "get_body", None, None)]
