@@ -381,3 +381,10 @@ SELECT query, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY score
                  QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, seq) <= 30)
         SELECT query, id, round(sim * 1.5::DOUBLE + {_KW} + {_IMPL} + {_PEN}, 6) AS score FROM near WHERE NOT EXISTS (SELECT 1 FROM exacts x WHERE x.query = near.query AND x.id = near.id)""",
 }
+SQL["body_rows"] = SQL["lookup_fuzzy_tiered"].replace("        SELECT query, id, tier FROM every", "        , best AS (SELECT query, id, tier FROM every") + ")" + SQL["body_references"][len(BASE):].replace(
+    "SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY spot, other) AS pos FROM hits QUALIFY pos <= 10",
+    """, few AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY spot, other) AS pos FROM hits QUALIFY pos <= 10),
+    refs AS (SELECT id, string_agg(other, ' ' ORDER BY pos) AS refs FROM few GROUP BY id),
+    named AS (SELECT b.query, s.id, s.body, CASE WHEN starts_with(s.id, 'kestrel.example/') THEN s.id[17:] ELSE s.id END AS short_id FROM best b JOIN sym s USING (id))
+    SELECT query, id, short_id, body, CASE WHEN id <> query THEN 'Fuzzy match: requested "' || query || '", resolved to "' || short_id || '"' ELSE '' END AS hint, coalesce(refs, '') AS "references"
+    FROM named LEFT JOIN refs USING (id)""")

@@ -337,3 +337,56 @@ def test_live_symbols(spark):
     d = spark.createDataFrame([("a.A", T0 + dt.timedelta(days=1)), ("a.B", T0 + dt.timedelta(days=1)), ("a.B", T0 + dt.timedelta(days=1))], "id string, deleted_at timestamp")
     got = index.live(s, d).collect()
     assert [(r.id, r.seq, r.docstring) for r in got] == [("a.B", 3, "")]
+
+
+def test_precise_tasks(spark):
+    for x, want in [("grpc.Dial", True), ("CreateShipmentLeg", True), ("`getBody()`", True), ("auth", False), ("how does getBody work", False), ("  pickup_time ", True), ("", False), (None, None)]:
+        got = value(spark, x, text.is_precise)
+        assert (got or False) == (want or False)
+
+
+def test_long_ids_and_names_are_whole(spark):
+    long = "m/" + "x" * 150_000
+    assert value(spark, long, lambda c: text.elide(c, "m")) == long[2:]
+    assert value(spark, "a" * 20_000, text.go_field_name) == "A" + "a" * 19_999
+
+
+def test_short_needles(spark):
+    s = symbols(spark, sym(1, "p.Windlass"), sym(2, "p.Winch"), sym(3, "p.Coal"))
+    needles = spark.createDataFrame([("winch",), ("Win",), ("l",), ("é",)], "needle string")
+    got = {(r.needle, r.id) for r in lookup.names_containing(s, needles).collect()}
+    assert got == {("winch", "p.Winch"), ("Win", "p.Windlass"), ("Win", "p.Winch"), ("l", "p.Windlass"), ("l", "p.Coal")}
+
+
+def test_failed_read_is_not_an_empty_base(spark, tmp_path):
+    from codeweft.streaming import streams
+
+    write = streams.merge_into(f"file://{tmp_path}", "id", "seq")
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, seq long")
+    write(rows((1, 1), (2, 1)), 0)
+    write(rows((1, 2)), 1)
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/v1").collect())) == [(1, 2), (2, 1)]
+    with pytest.raises(Exception):
+        write(rows((3, 1)), 7)
+
+
+def test_windows_close_and_leave_the_state(spark, tmp_path):
+    from codeweft.streaming import streams
+
+    rows = [(f"r{i % 3}", T0 + dt.timedelta(hours=i), i % 2 == 0) for i in range(100)]
+    spark.createDataFrame(rows, "repo string, recorded_at timestamp, success boolean").write.parquet(f"file://{tmp_path}/t.parquet")
+    stream = streams.closed(streams.source(spark, str(tmp_path), "t"), "recorded_at")
+    q = streams.tumbling(stream).writeStream.outputMode("append").format("memory").queryName("closing").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("select sum(calls) as n from closing").first().n == 100
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # the closing row's own window
+
+
+def test_deletes_by_prefix_and_updates_of_vectors(spark):
+    e = spark.createDataFrame([("a/b.X", "z", "calls"), ("a/bc.Y", "z", "calls"), ("a/d.Z", "z", "calls"), ("a/b.X", "z", "implements")], "from_id string, to_id string, kind string")
+    p = spark.createDataFrame([("a/b",)], "package string")
+    assert sorted(map(tuple, maintenance.delete_edges_below(e, "calls", p).collect())) == [("a/b.X", "z", "implements"), ("a/d.Z", "z", "calls")]
+    base = symbols(spark, sym(1, "p.A", embedding=[1.0], embedding_model="m"), sym(2, "p.B"))
+    fresh = spark.createDataFrame([("p.B", [2.0], "n"), ("p.C", [3.0], "n")], "id string, embedding array<float>, embedding_model string")
+    got = {r.id: (r.embedding, r.embedding_model) for r in maintenance.update_vectors(base, fresh).collect()}
+    assert got == {"p.A": ([1.0], "m"), "p.B": ([2.0], "n")}
