@@ -125,13 +125,17 @@ def is_trivial(doc: str | None, name: str, signature: str) -> bool:
     return True
 
 
+#: Which grammar reads a file, by its extension (fixed values).
+LANGUAGES = {"py": "python", "pyi": "python", "go": "go", "ts": "script", "tsx": "script", "js": "script", "jsx": "script", "mjs": "script", "cjs": "script",
+             "java": "java", "kt": "java", "scala": "java", "proto": "proto"}
+
+
 def _language(file: str) -> str:
-    ext = file.rpartition(".")[2].lower() if file else ""
-    return "python" if ext in ("py", "pyi") else "braces"
+    return LANGUAGES.get(file.rpartition(".")[2].lower() if file else "", "braces")
 
 
 def _skip_string(s: str, i: int, raw: str) -> int:
-    """Index after the string literal that starts at i."""
+    """Index after the string literal that starts at i; marks in ``raw`` know no escapes and may span lines."""
     q, n = s[i], len(s)
     if s.startswith(q * 3, i) and q != "`":
         end = s.find(q * 3, i + 3)
@@ -144,22 +148,53 @@ def _skip_string(s: str, i: int, raw: str) -> int:
     return min(n, i + 1)
 
 
+def _skip_template(s: str, i: int) -> int:
+    """Index after the template string that starts at i; what stands in ${...} is code, templates included."""
+    i, n = i + 1, len(s)
+    while i < n and s[i] != "`":
+        if s.startswith("${", i):
+            end = _balanced(s, i + 1, "script")
+            i = n if end < 0 else end
+        else:
+            i += 2 if s[i] == "\\" else 1
+    return min(n, i + 1)
+
+
+_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_VALUE_BEFORE = re.compile(r"(?:[\w$)\]}\"'`])\s*$")
+_OPERATOR_WORD = re.compile(r"\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await)\s*$")
 _ISLAND = re.compile(r"[\"'`]|//[^\n]*|/\*.*?(?:\*/|\Z)|[{}()\[\]]", re.S)
+_SCRIPT_ISLAND = re.compile(r"[\"'`]|//[^\n]*|/\*.*?(?:\*/|\Z)|[{}()\[\]/]", re.S)
+
 
+def _balanced(s: str, start: int, language: str = "braces") -> int:
+    """End of the first balanced {...} after start, literals and comments being water; -1 if none.
 
-def _balanced(s: str, start: int) -> int:
-    """End of the first balanced {...} after start, literals and comments being water; -1 if none."""
+    Go: `raw` strings and runes. Script: template strings with code inside, regular expressions.
+    Java: text blocks. Proto: a declaration may end with ; in place of a body.
+    """
     depth, i, n = 0, start, len(s)
-    while (m := _ISLAND.search(s, i)):
+    island = _SCRIPT_ISLAND if language == "script" else _ISLAND
+    while (m := island.search(s, i)):
+        if language == "proto" and depth == 0 and (stop := s.find(";", i, m.start())) >= 0:
+            return stop + 1
         c, i = m[0], m.end()
-        if c in "\"'`":
+        if c == "`" and language == "script":
+            i = _skip_template(s, m.start())
+        elif c in "\"'`":
             i = _skip_string(s, m.start(), "`")
+        elif c == "/":
+            before = s[max(0, m.start() - 40):m.start()]
+            if (not _VALUE_BEFORE.search(before) or _OPERATOR_WORD.search(before)) and (r := _PATTERN.match(s, m.start())):
+                i = r.end()
         elif c == "{":
             depth += 1
         elif c == "}":
             depth -= 1
             if depth <= 0:
                 return i
+    if language == "proto" and depth == 0 and (stop := s.find(";", i)) >= 0:
+        return stop + 1
     return n if depth > 0 else -1
 
 
@@ -209,7 +244,7 @@ def parse_function(body: str, file: str) -> tuple[str | None, str]:
     start = i
     while (m := _ANNOTATION.match(body, i)):
         i = m.end()
-    end = _balanced(body, i)
+    end = _balanced(body, i, _language(file))
     code = body[start:] if end < 0 else body[start:end]
     return "".join(doc) if doc else None, code.strip()
 

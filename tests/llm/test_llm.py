@@ -228,6 +228,19 @@ def test_islands():
     assert "Blocks." in doc and code.startswith("@Inject()")
 
 
+@pytest.mark.parametrize("file,doc,code", [
+    ("a.go", "// Blocks.\n", "func A() {\n\tr := '{'\n\ts := `}\\`\n\tuse(r, s)\n}"),
+    ("a.ts", "/** Blocks. */\n", "function a(x: string) {\n  return `}${x.replace(/[}/]{2}/g, `${'}'}`)}` + x / 2 / 3;\n}"),
+    ("a.js", "// Blocks.\n", "const a = (x) => {\n  if (/}/.test(x)) return /\\/}/;\n  return x / 1;\n}"),
+    ("A.java", "/** Blocks. */\n", '@Override\npublic String a() {\n  return """\n  } " }\n  """;\n}'),
+    ("a.proto", "// Blocks.\n", "rpc A(B) returns (C);"),
+    ("a.proto", "// Blocks.\n", "rpc A(B) returns (C) {\n  option x = \"}\";\n}"),
+])
+def test_islands_by_language(file, doc, code):
+    got = docpairs.parse_function(doc + code + "\nwater { }\n", file)
+    assert "Blocks." in got[0] and got[1] == code
+
+
 def test_pairs_cases(spark):
     schema = "seq long, id string, kind string, name string, signature string, docstring string, file string, body string"
     go = "func SaveParcel() {}"
