@@ -174,7 +174,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(loaded)
     words = corpus_words(docs, text).orderBy(F.desc("n"), "word").limit(frequent)
-    table = replayed(words, shared).toArrow()  # at most ``frequent`` words
+    table = replayed(words.repartition("word"), shared).toArrow()  # at most ``frequent`` words
     known = context.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
