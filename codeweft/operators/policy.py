@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeweft.functions import text
 
@@ -54,6 +54,16 @@ def class_map(decided: DataFrame) -> DataFrame:
                    F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "reads"))))).alias("classes"))
 
 
+def nearest_ranks(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """by and a column for every quantile: the least value that so large a part of the rows does not
+    exceed. Values are counted, combined before the shuffle, and the window runs over counts."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("n").over(Window.partitionBy(by))
+    ranked = counts.withColumn("upto", upto).withColumn("total", total)
+    return ranked.groupBy(by).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col(value))).cast("long").alias(n) for n, q in quantiles.items()])
+
+
 def session_counts(telemetry: DataFrame, *by: str) -> DataFrame:
     ok = F.count_if("success")
     return telemetry.groupBy(*by).agg(

@@ -23,8 +23,9 @@ def edge_ends(edges: DataFrame) -> DataFrame:
 def _salts(refs: DataFrame, total: int, piece_rows: int, most_hot: int) -> DataFrame:
     """Ids with more references than one piece, and into how many pieces each is cut.
 
-    A piece is never smaller than total / most_hot, so at most ``most_hot`` ids qualify:
-    the table is small enough to broadcast whatever the size of the input.
+    A piece is never smaller than total / most_hot, so at most ``most_hot`` ids qualify (some
+    20 MB): the table is small enough to broadcast whatever the size of the input. A piece is one
+    sorted run that a window streams over and that may spill.
     """
     piece = max(piece_rows, -(-total // most_hot))
     return (
@@ -35,7 +36,7 @@ def _salts(refs: DataFrame, total: int, piece_rows: int, most_hot: int) -> DataF
 
 def resolve(
     refs: DataFrame, indexed: DataFrame, deleted: DataFrame, always: DataFrame,
-    piece_rows: int = 50_000, most_hot: int = 2_000,
+    piece_rows: int = 50_000, most_hot: int = 200_000,
 ) -> DataFrame:
     """State of the parent of every reference at the reference's own time.
 

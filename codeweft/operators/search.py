@@ -49,8 +49,9 @@ def bm25(index_counts: DataFrame, lengths: DataFrame, queries: DataFrame, k: int
     index_counts: token, id, tf. lengths: id, words. Frequencies cover all records.
     """
     n, avg = lengths.agg(F.count(F.lit(1)), F.avg("words")).first()
-    df = index_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select("query", F.explode("terms").alias("token"))
+    index_counts = index_counts.join(asked.select("token").distinct(), "token", "left_semi")  # no other token is counted or joined
+    df = index_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.lit(float(avg or 1))))
     scored = (index_counts.join(df, "token").join(asked, "token").join(lengths, "id")
@@ -83,4 +84,4 @@ def scored(hits: DataFrame, queries: DataFrame) -> DataFrame:
     bonus = F.when((c("same_name") < 3) & F.array_contains(c("scoring"), F.lower("name")), sc.name_bonus(c("kind"))).otherwise(sc.num(0))
     score = ((c("n") - c("at")).cast("double") / c("n") + bonus + sc.term_coverage(c("scoring"), c("haystack"))
              + sc.kind_weight(c("kind")) + sc.impl_boost(c("kind"), c("package")) + sc.generated_penalty(c("file")))
-    return hits.join(F.broadcast(q), "query").withColumn("score", score).withColumn("why", F.lit("semantic match")).drop("scoring", "haystack")
+    return hits.join(q, "query").withColumn("score", score).withColumn("why", F.lit("semantic match")).drop("scoring", "haystack")

@@ -598,7 +598,7 @@ def session_rollup(spark, sf_dir):
 def session_percentiles(spark, sf_dir):
     """Nearest-rank percentiles of response sizes per command."""
     t = policy.once(table(spark, sf_dir, "session_telemetry"))
-    return t.groupBy("command").agg(*[F.expr(f"percentile_disc({q}) within group (order by response_bytes)").cast("long").alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))])
+    return policy.nearest_ranks(t, "command", "response_bytes", {"p50": 0.5, "p95": 0.95})
 
 
 @query
