@@ -136,13 +136,13 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 _CURRENT = "SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
 _SPANS = f"""
 WITH cur AS ({_CURRENT}),
-w AS (SELECT seq, at, substr(body, at + 1, 200) AS span FROM (SELECT seq, body, unnest(range(0, length(body) - 199)) AS at FROM cur WHERE length(body) >= 200)),
+w AS (SELECT seq, place, substr(body, place + 1, 200) AS span FROM (SELECT seq, body, unnest(range(0, length(body) - 199)) AS place FROM cur WHERE length(body) >= 200)),
 rep AS (SELECT span FROM w GROUP BY span HAVING min(seq) < max(seq)), sh AS (SELECT w.* FROM w JOIN rep USING (span))
 """
 _INTERVALS = """
-, f AS (SELECT seq, at, CASE WHEN at > lag(at) OVER (PARTITION BY seq ORDER BY at) + 200 THEN 1 ELSE 0 END AS fresh FROM sh),
-p AS (SELECT seq, at, sum(fresh) OVER (PARTITION BY seq ORDER BY at) AS part FROM f),
-iv AS (SELECT seq, min(at)::INTEGER AS start, (max(at) + 200)::INTEGER AS "end" FROM p GROUP BY seq, part)
+, f AS (SELECT seq, place, CASE WHEN place > lag(place) OVER (PARTITION BY seq ORDER BY place) + 200 THEN 1 ELSE 0 END AS fresh FROM sh),
+p AS (SELECT seq, place, sum(fresh) OVER (PARTITION BY seq ORDER BY place) AS part FROM f),
+iv AS (SELECT seq, min(place)::INTEGER AS start, (max(place) + 200)::INTEGER AS "end" FROM p GROUP BY seq, part)
 """
 
 ORACLE = {
