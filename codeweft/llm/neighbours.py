@@ -147,7 +147,7 @@ def _block_edges(k: int, leaf: int):
                 continue
             j = np.argpartition(-s, k_ - 1, axis=1)[:, :k_].ravel()
             i = np.repeat(np.arange(len(x)), k_)
-            yield _candidates(ids[i], ids[j], s[i, j], np.zeros(len(i), np.int8))
+            yield _candidates(ids[i], ids[j], s[i, j])
 
     return run
 
@@ -196,6 +196,7 @@ def _similar(pairs: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "ca", "cb").mapInArrow(run, "src long, dst long, sim float")
 
 
+#: What the nodes are told: a pair (back 0), who points to them (back 1, packed); the nodes themselves have no back.
 CANDIDATE = "key long, other long, s float, back byte, node binary"
 MESSAGE = "centre long, node long, new boolean, sim float, least float, points boolean, code binary"
 _CANDIDATE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("back", pa.int8()), ("node", pa.binary())])
@@ -211,6 +212,11 @@ def _node(code: int, k: int, r: int) -> np.dtype:
                      ("back", np.int64, r), ("back_sim", np.float32, r), ("back_new", np.bool_, r)])
 
 
+def _told(r: int) -> np.dtype:
+    """Up to r nodes that say to point to a node, in one column: filled up with -1, nearest first."""
+    return np.dtype([("back", np.int64, r), ("back_sim", np.float32, r), ("back_new", np.bool_, r)])
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """Rows of bytes of one width as a binary column."""
     rows = np.ascontiguousarray(rows)
@@ -226,12 +232,13 @@ def _unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
 def _filled(n: int, kind: np.dtype) -> np.ndarray:
     out = np.zeros(n, kind)
     for name, value in (("near", -1), ("sim", -2), ("back", -1), ("back_sim", -2)):
-        out[name] = value
+        if name in kind.names:
+            out[name] = value
     return out
 
 
-def _candidates(key, other, sim, back) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(back),
+def _candidates(key, other, sim) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(np.zeros(len(key), np.int8)),
                                        pa.nulls(len(key), pa.binary())], schema=_CANDIDATE)
 
 
@@ -276,7 +283,12 @@ def _local_joins(most: int, r: int, best: int, wanted: float):
                 rank = np.cumsum(points) - 1
                 rank -= np.repeat(rank[first] - points[first] + 1, sizes)
                 told = np.flatnonzero(points & (rank < r))
-                yield _candidates(centre[told], node[told], sim[told], np.where(new[told], 2, 1).astype(np.int8))
+                who, owner = np.unique(centre[told], return_inverse=True)
+                v = _filled(len(who), _told(r))
+                v["back"][owner, rank[told]], v["back_sim"][owner, rank[told]], v["back_new"][owner, rank[told]] = node[told], sim[told], new[told]
+                if len(who):
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.float32()),
+                                                      pa.array(np.ones(len(who), np.int8)), _binary(v)], schema=_CANDIDATE)
             sizes = np.minimum(sizes, most)
             order = np.argsort(sizes, kind="stable")  # centres of like size together
             for at in range(0, len(order), 256):
@@ -299,7 +311,7 @@ def _local_joins(most: int, r: int, best: int, wanted: float):
                     ok &= s >= np.minimum(limit, wanted)[:, :, None]
                 g, i, j = np.nonzero(ok)
                 if len(g):
-                    yield _candidates(who[g, i], who[g, j], s[g, i, j], np.zeros(len(g), np.int8))
+                    yield _candidates(who[g, i], who[g, j], s[g, i, j])
 
     return run
 
@@ -330,24 +342,23 @@ def _merge(kind: np.dtype):
     def run(batches):
         for b in _sorted_batches(batches, 0):
             key, packed = b.column(0).to_numpy(), b.column(4)
-            at = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False))
+            mark = b.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+            at, told, rest = (np.flatnonzero(mark == m) for m in (-1, 1, 0))  # nodes, who points to them, pairs
             if not len(at):
                 continue
             keys, v = key[at], _unpacked(packed.take(pa.array(at)), kind)
             g, i = np.nonzero(v["near"] >= 0)
-            rest = np.ones(len(key), bool)
-            rest[at] = False
-            rest = np.flatnonzero(rest)
             owner = np.searchsorted(keys, key[rest])
-            other, s, back = (b.column(c).to_numpy(zero_copy_only=False)[rest] for c in (1, 2, 3))
-            other, s = other.astype(np.int64), s.astype(np.float32)
-            out = np.zeros(len(keys), kind)
+            other, s = (b.column(c).take(pa.array(rest)).to_numpy(zero_copy_only=False) for c in (1, 2))
+            out = _filled(len(keys), kind)
             out["code"] = v["code"]
             out["near"], out["sim"], out["new"] = _best_of(
                 np.concatenate([g, owner]), np.concatenate([v["near"][g, i], other]), np.concatenate([v["sim"][g, i], s]),
                 np.concatenate([np.zeros(len(g), bool), np.ones(len(owner), bool)]), len(keys), k)
-            told = back > 0
-            out["back"], out["back_sim"], out["back_new"] = _best_of(owner[told], other[told], s[told], back[told] > 1, len(keys), r)
+            if len(told):
+                t, to = _unpacked(packed.take(pa.array(told)), _told(r)), np.searchsorted(keys, key[told])
+                for name in ("back", "back_sim", "back_new"):
+                    out[name][to] = t[name]
             yield pa.RecordBatch.from_arrays([pa.array(keys), _binary(out)], names=["key", "node"])
 
     return run
