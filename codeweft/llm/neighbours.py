@@ -76,11 +76,15 @@ def _matrix(column) -> np.ndarray:
     n = len(column)
     buf = column.buffers()
     width = np.frombuffer(buf[1], dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + n + 1]
-    q = np.frombuffer(buf[2], dtype=np.uint8)[width[0]:width[-1]].reshape(n, -1)
+    return _numbers(np.frombuffer(buf[2], dtype=np.uint8)[width[0]:width[-1]].reshape(n, -1))
+
+
+def _numbers(q: np.ndarray) -> np.ndarray:
+    """Codes, a row of bytes each, as whole numbers in float32."""
     if q.shape[1] == DIMENSIONS:
         x = q.astype(np.float32) - 128
     else:
-        x = np.empty((n, 2 * q.shape[1]), dtype=np.float32)
+        x = np.empty((len(q), 2 * q.shape[1]), dtype=np.float32)
         x[:, ::2], x[:, 1::2] = q >> 4, q & 15
         x -= 8
     return x
@@ -92,9 +96,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (1 / np.sqrt((x * x).sum(axis=-1))).astype(np.float32)
 
 
-def _sorted_batches(batches, by: int, most: int | None = None):
+def _sorted_batches(batches, by: int, shortened=None):
     """Batches anew, cut so that no group of equal values in column ``by`` is divided. Rows come
-    sorted by it; of a group at least the first ``most`` stay together, all if it is not given."""
+    sorted by it; ``shortened`` bounds what is held of a group that goes on in the next batch."""
     rest = None
     for batch in batches:
         if not len(batch):
@@ -105,7 +109,7 @@ def _sorted_batches(batches, by: int, most: int | None = None):
         last = int(np.searchsorted(values, values[-1], "left"))
         if last:
             yield batch.slice(0, last)
-        rest = batch.slice(last) if most is None else batch.slice(last, most)
+        rest = batch.slice(last) if shortened is None else shortened(batch.slice(last))
     if rest is not None:
         yield rest
 
@@ -198,10 +202,9 @@ def _similar(pairs: DataFrame, codes: DataFrame, key: str) -> DataFrame:
 
 #: What the nodes are told: a pair (back 0), who points to them (back 1, packed); the nodes themselves have no back.
 CANDIDATE = "key long, other long, s float, back byte, node binary"
-MESSAGE = "centre long, node long, new boolean, sim float, least float, points boolean, code binary"
+MESSAGE = "centre long, message binary"
 _CANDIDATE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("back", pa.int8()), ("node", pa.binary())])
-_MESSAGE = pa.schema([("centre", pa.int64()), ("node", pa.int64()), ("new", pa.bool_()), ("sim", pa.float32()), ("least", pa.float32()),
-                      ("points", pa.bool_()), ("code", pa.binary())])
+_MESSAGE = pa.schema([("centre", pa.int64()), ("message", pa.binary())])
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float32()), ("fresh", pa.bool_())])
 
 
@@ -212,6 +215,12 @@ def _node(code: int, k: int, r: int) -> np.dtype:
                      ("back", np.int64, r), ("back_sim", np.float32, r), ("back_new", np.bool_, r)])
 
 
+def _message(code: int) -> np.dtype:
+    """What a node tells one it points to, or one that pointed to it: its key and code, how similar the two are, whether
+    that is new, the similarity of the farthest it knows, and whether it points there."""
+    return np.dtype([("node", np.int64), ("sim", np.float32), ("least", np.float32), ("new", np.bool_), ("points", np.bool_), ("code", np.uint8, code)])
+
+
 def _told(r: int) -> np.dtype:
     """Up to r nodes that say to point to a node, in one column: filled up with -1, nearest first."""
     return np.dtype([("back", np.int64, r), ("back_sim", np.float32, r), ("back_new", np.bool_, r)])
@@ -257,24 +266,35 @@ def _messages(kind: np.dtype):
             new = new | (same & v["back_new"][:, None, :]).any(axis=2)
             to = np.concatenate([near, np.where(same.any(axis=1), -1, back)], axis=1)
             row, at = np.nonzero(to >= 0)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(to[row, at]), pa.array(key[row]), pa.array(np.concatenate([new, v["back_new"]], axis=1)[row, at]),
-                pa.array(np.concatenate([v["sim"], v["back_sim"]], axis=1)[row, at]), pa.array(least[row]), pa.array(at < k),
-                _binary(v["code"][row])], schema=_MESSAGE)
+            m = np.zeros(len(row), _message(v["code"].shape[1]))
+            m["node"], m["least"], m["points"], m["code"] = key[row], least[row], at < k, v["code"][row]
+            m["new"] = np.concatenate([new, v["back_new"]], axis=1)[row, at]
+            m["sim"] = np.concatenate([v["sim"], v["back_sim"]], axis=1)[row, at]
+            yield pa.RecordBatch.from_arrays([pa.array(to[row, at]), _binary(m)], schema=_MESSAGE)
 
     return run
 
 
-def _local_joins(most: int, r: int, best: int, wanted: float):
+def _local_joins(code: int, most: int, r: int, best: int, wanted: float):
     """At every centre the at most ``most`` nearest of those that told it their code meet. Of the
     pairs of which one is new to the centre a node is told its ``best``, and all that are
     ``wanted``, if they are nearer than the farthest it knows; the centre is told who points to it."""
 
+    kind = _message(code)
+
+    def nearest(b):
+        if len(b) <= most:
+            return b
+        return b.take(pa.array(np.argpartition(-_unpacked(b.column(1), kind)["sim"], most - 1)[:most]))
+
     def run(batches):
-        for b in _sorted_batches(batches, 0, most):
-            centre, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new, points = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
-            sim, least, x = b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(6))
+        for b in _sorted_batches(batches, 0, nearest):
+            centre, m = b.column(0).to_numpy(), _unpacked(b.column(1), kind)
+            # by centre, as they come, and of one the nearest first
+            group = np.cumsum(np.concatenate([[0], centre[1:] != centre[:-1]]))
+            order = np.argsort(group << 32 | ((1.0 - m["sim"].astype(np.float64)) * (1 << 29)).astype(np.int64), kind="stable")
+            centre, m = centre[order], m[order]
+            node, new, sim, least, points, x = m["node"], m["new"], m["sim"], m["least"], m["points"], _numbers(m["code"])
             u = _unit(x)
             first = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
             sizes = np.diff(np.concatenate([first, [len(centre)]]))
@@ -414,8 +434,8 @@ def neighbour_graph(codes: DataFrame, key: str = "seq", k: int = KEPT, trees: in
     if report:
         report(0, _edges(nodes, kind))
     for number in range(1, rounds + 1):
-        told = nodes.mapInArrow(_messages(kind), MESSAGE).repartition("centre").sortWithinPartitions("centre", F.desc("sim"))
-        after = checkpointed(_after(nodes, told.mapInArrow(_local_joins(meet, reverse, best, wanted), CANDIDATE), kind))
+        told = nodes.mapInArrow(_messages(kind), MESSAGE).repartition("centre").sortWithinPartitions("centre")
+        after = checkpointed(_after(nodes, told.mapInArrow(_local_joins(code, meet, reverse, best, wanted), CANDIDATE), kind))
         forget(nodes)
         nodes = after
         if report:
