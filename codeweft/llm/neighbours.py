@@ -149,9 +149,11 @@ def _block_edges(k: int, leaf: int):
             k_ = min(k, len(x) - 1)
             if k_ < 1:
                 continue
-            j = np.argpartition(-s, k_ - 1, axis=1)[:, :k_].ravel()
-            i = np.repeat(np.arange(len(x)), k_)
-            yield _candidates(ids[i], ids[j], s[i, j])
+            i = np.arange(len(x))
+            for _ in range(k_):  # few are kept, so as many searches for the largest are less than a partial sort
+                j = s.argmax(axis=1)
+                yield _candidates(ids[i], ids[j], s[i, j])
+                s[i, j] = -2.0
 
     return run
 
@@ -320,18 +322,21 @@ def _local_joins(code: int, most: int, r: int, best: int, wanted: float):
                 slot = np.arange(width)
                 inside = slot[None, :] < size[:, None]
                 row = np.where(inside, first[which][:, None] + slot[None, :], 0)
-                y, v = x[row], u[row]
+                y, v, fresh, who = x[row], np.where(inside, u[row], np.float32(np.nan)), new[row] & inside, node[row]
+                # of a pair the second axis is who is told of, the third who is told; what is not inside compares as false
                 s = np.matmul(y, y.transpose(0, 2, 1)) * (v[:, :, None] * v[:, None, :])
-                fresh, who = new[row] & inside, node[row]
-                ok = (fresh[:, :, None] | fresh[:, None, :]) & inside[:, :, None] & inside[:, None, :] & (who[:, :, None] != who[:, None, :])
-                ok &= s > least[row][:, :, None]
-                s = np.where(ok, s, np.float32(-3))
+                ok = s > least[row][:, None, :]
+                ok &= fresh[:, :, None] | fresh[:, None, :]
+                ok[:, slot, slot] = False
                 if width > best:
-                    limit = -np.partition(-s, best - 1, axis=2)[:, :, best - 1]
-                    ok &= s >= np.minimum(limit, wanted)[:, :, None]
-                g, i, j = np.nonzero(ok)
+                    s = np.where(ok, s, np.float32(-3))
+                    limit = s.max(axis=1)
+                    for _ in range(best - 1):
+                        limit = np.where(s < limit[:, None, :], s, np.float32(-3)).max(axis=1)
+                    ok &= s >= np.minimum(limit, wanted)[:, None, :]
+                g, j, i = np.nonzero(ok)
                 if len(g):
-                    yield _candidates(who[g, i], who[g, j], s[g, i, j])
+                    yield _candidates(who[g, i], who[g, j], s[g, j, i])
 
     return run
 
