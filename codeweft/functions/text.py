@@ -128,6 +128,30 @@ def is_generated(file: Column) -> Column:
     return file.endswith(".pb.go") | file.endswith(".pb.gw.go") | file.contains("/gen/")
 
 
+def is_left_out(file: Column, head: Column) -> Column:
+    """Whether a file is not indexed: in a hidden, vendored or generated folder, named or marked as generated in
+    its first five lines. Files generated from proto definitions are kept, for they define interfaces. A null head says nothing."""
+    proto = file.endswith(".pb.go") | file.endswith(".pb.gw.go")
+    folder = F.exists(F.split(file, "/"), lambda p: p.startswith(".") | p.isin("vendor", "gen", "generated"))
+    marked = F.exists(F.slice(F.split(F.coalesce(head, F.lit("")), "\n"), 1, 5), lambda x: x.contains("Code generated"))
+    return ~proto & (folder | file.endswith("_gen.go") | file.endswith("_generated.go") | marked)
+
+
+def declaration(source: Column) -> Column:
+    """A declaration from the start of a text to the line that closes its first braces; the first line
+    alone where that opens none, the whole text where they are never closed."""
+    lines = F.split(source, "\n")
+    n = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(False).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth, opened = s["depth"] + n(x, "{") - n(x, "}"), s["opened"] | x.contains("{")
+        done = (opened & (depth <= 0)) | ((s["n"] == 0) & ~opened)
+        return F.when(s["done"], s).otherwise(F.struct((s["n"] + 1).alias("n"), depth.alias("depth"), opened.alias("opened"), done.alias("done")))
+
+    return F.array_join(F.slice(lines, F.lit(1), F.aggregate(lines, start, step)["n"]), "\n")
+
+
 def is_test(file: Column) -> Column:
     return file.endswith("_test.go")
 

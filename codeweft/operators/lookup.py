@@ -70,6 +70,14 @@ def best_candidate_score(package, query):
     return base + fit + F.when(low.rlike("svc|server|service"), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def without_paths(symbols: DataFrame, *parts: str) -> DataFrame:
+    """Symbols whose package path holds none of the parts."""
+    hit = F.lit(False)
+    for p in parts:
+        hit = hit | F.col("package").contains(p)
+    return symbols.filter(~hit)
+
+
 def fuzzy(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """query, id, tier: the symbol a possibly shortened id means.
 

@@ -102,6 +102,48 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(demoted, F.desc("score"), "id")))
 
 
+def whole_ranks(rows: DataFrame, *order, name: str = "rank", by: str = "query") -> DataFrame:
+    """rows with the place of each within ``by``, for groups of any size: rows are spread by ranges of the
+    order, numbered within (group, range), and moved on by what the ranges before hold. A group that
+    holds much of the table lies in many ranges, and no task sees more than one of them."""
+    spread = checkpointed(rows.withColumns({f"o{i}_": o for i, o in enumerate(order)}).repartitionByRange(by, *_directed(order)).withColumn("part", F.spark_partition_id()))
+    sizes = spread.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(by, "part").orderBy(*_directed(order)))
+    return (spread.withColumn("inside", inside).join(sizes, [by, "part"]).withColumn(name, (F.col("inside") + F.col("before")).cast("int"))
+            .select(*rows.columns, name))
+
+
+def _directed(order):
+    """The columns o0_, o1_, ... that stand for an order's values, all ascending."""
+    return [F.col(f"o{i}_") for i in range(len(order))]
+
+
+def source_first(rows: DataFrame) -> DataFrame:
+    """As ranked, for lists without a bound: a whole package, a whole index."""
+    named = F.col("why").startswith("name contains ") | F.col("why").startswith("exact name match")
+    return whole_ranks(rows, text.is_generated(F.col("file")) & ~named, -F.col("score"), F.col("id"))
+
+
+def as_text(kept: DataFrame, full: DataFrame) -> DataFrame:
+    """query, text: what a task is answered with, one line per symbol in order, the packages before and
+    what was cut off after. No text is longer than the budget under which ``kept`` was trimmed allows."""
+    place = F.when(F.col("line_end") > F.col("line_start"), F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))).otherwise(F.col("line_start").cast("string"))
+    line = F.concat_ws(" \u2014 ", F.concat_ws(" ", "kind", "id"), "signature", F.concat_ws(":", F.col("file"), place))
+
+    def joined(rows: DataFrame, order, text_) -> DataFrame:
+        return rows.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text_.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+
+    lines = joined(kept, ["rank"], line).withColumnRenamed("t", "lines")
+    packages = package_summary(kept).withColumn("less", -F.col("symbols"))
+    heads = joined(packages, ["less", "folder"], F.concat(F.lit("  "), F.col("folder"), F.lit(" \u2014 "), F.col("symbols").cast("string"), F.lit(" ("), F.col("kinds"), F.lit(")")))
+    heads = heads.select("query", F.concat(F.lit("packages:\n"), "t", F.lit("\n")).alias("head"))
+    cut = trace(full, kept).select("query", "truncated")
+    foot = F.when(F.col("truncated") > 0, F.concat(F.lit("(+"), F.col("truncated").cast("string"), F.lit(" more)")))
+    return lines.join(heads, "query", "left").join(cut, "query").select("query", F.concat_ws("\n", "head", "lines", foot).alias("text"))
+
+
 def trimmed(rows: DataFrame, budget: int = BUDGET, cost=None) -> DataFrame:
     """The longest prefix whose running cost stays within the budget. The window runs per task
     over no more rows than the budget could hold."""

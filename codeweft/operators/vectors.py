@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Most query vectors that go to the tasks at a time (64 dimensions: 1 MB).
-BLOCK = 4096
+#: Rows and queries that meet in one task, at most about so many of each (64 dimensions of 4 bytes: 8 MB a side).
+ROWS, QUERIES = 32768, 32768
+#: Sides of the tables of similarities made at a time.
+ASKED = 512
 
 
 def valid(vector: str):
@@ -15,64 +17,62 @@ def valid(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def _top(rows: DataFrame, block, key: str, group: str, vector: str, k: int) -> DataFrame:
-    def run(batches):
-        ids, groups, q = block.value
-        for b in batches:
-            if not len(b):
-                continue
-            keys, own = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).to_pylist(), dtype=object)
-            vs = b.column(2).to_pylist()
-            dims = np.array([len(v) for v in vs])
-            at = np.flatnonzero(dims == q.shape[1])
-            if not len(at):
-                continue
-            x = np.array([vs[i] for i in at], dtype=np.float64)
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            for g in set(groups):
-                rows_in, asks = at[own[at] == g], np.flatnonzero(groups == g)
-                if not len(rows_in):
-                    continue
-                s = q[asks] @ x[np.searchsorted(at, rows_in)].T
-                s[ids[asks][:, None] == keys[rows_in][None, :]] = -2.0  # not itself
-                keep = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else np.argpartition(-s, min(2 * k, s.shape[1] - 1), axis=1)[:, :2 * k]
-                sims = np.take_along_axis(s, keep, axis=1)
-                good = sims > -1.5
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids[asks], keep.shape[1])[good.ravel()]), pa.array(keys[rows_in][keep].ravel()[good.ravel()]),
-                    pa.array(sims.ravel()[good.ravel()])], names=["query", "neighbour", "sim"])
+def _best(k: int):
+    """The k most similar rows of every query of one cell; of equal similarities the lesser keys."""
+    schema = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("sim", pa.float64())])
 
-    return rows.select(key, group, vector).mapInArrow(run, "query long, neighbour long, sim double")
+    def unit(t: pa.Table):
+        keys = t.column("k").to_numpy()
+        flat = t.column("v").combine_chunks()
+        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # first, so that no square overflows
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], x[order]
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [schema.empty_table()]
+        if len(rows) and len(asked):
+            (keys, x), (ids, q) = unit(rows), unit(asked)
+            n = min(k, len(keys))
+            for at in range(0, len(ids), ASKED):
+                own = ids[at:at + ASKED]
+                s = np.round(q[at:at + ASKED] @ x.T, 9)
+                s[own[:, None] == keys[None, :]] = -2.0  # not itself
+                least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                i, j = np.nonzero((s >= least[:, None]) & (s > -1.5))
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i, "left")
+                top = np.arange(len(i)) - first < k
+                out.append(pa.table([own[i[top]], keys[j[top]], s[i[top], j[top]]], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
     """query, neighbour, sim, pos: the k rows of the same group most similar to each query.
 
-    Every query is compared with every row of its group. Query vectors go to the tasks in
-    blocks of bounded size; each task keeps 2k rows per query, so what is shuffled does not
-    grow with a partition. Rows that are null, empty, zero, not finite or of another length
-    take no part. Ties go to the lesser key, similarities being rounded to nine digits.
+    Every query is compared with every row of its group, in cells of a bounded number of rows and of
+    queries: each row goes to as many cells as there are blocks of queries, each query to as many as
+    there are blocks of rows, so both sides are read once and nothing passes the driver. A cell keeps k rows a query. Rows that are null, empty, zero, not finite or of
+    another length take no part. Ties go to the lesser key, similarities being rounded to nine digits.
     """
-    rows = rows.filter(valid(vector) & F.col(key).isNotNull())
-    asked = queries.filter(valid(vector)).select(key, F.col(group).cast("string").alias(group), vector).dropDuplicates([key])
-    typed = rows.select(F.col(key).cast("long").alias(key), F.col(group).cast("string").alias(group), vector)
-    out = None
-    batch: list = []
-
-    def flush(out):
-        q = np.array([r[2] for r in batch], dtype=np.float64)
-        q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
-        block = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in batch], np.int64), np.array([r[1] for r in batch], dtype=object), q))
-        part = _top(typed, block, key, group, vector, k)
-        return part if out is None else out.unionByName(part)
+    def side(df: DataFrame) -> DataFrame:
+        v = F.col(vector)
+        return (df.filter(valid(vector) & F.col(key).isNotNull() & F.col(group).isNotNull())
+                .select(F.col(key).cast("long").alias("k"), F.col(group).cast("string").alias("g"), F.size(v).alias("d"), v.alias("v")).dropDuplicates(["k"]))
 
-    for r in asked.toLocalIterator():
-        if batch and (len(batch) == BLOCK or len(r[2]) != len(batch[0][2])):
-            out, batch = flush(out), []
-        batch.append(r)
-    if batch:
-        out = flush(out)
-    if out is None:
-        return rows.select(F.col(key).cast("long").alias("query"), F.col(key).cast("long").alias("neighbour"), F.lit(0.0).alias("sim"), F.lit(0).alias("pos")).limit(0)
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "neighbour")
-    return out.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    r, q = side(rows), side(queries)
+    n, m = r.count(), q.count()
+    across, down = max(-(-n // ROWS), rows.sparkSession.sparkContext.defaultParallelism), max(1, -(-m // QUERIES))
+    block = lambda parts: F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    cell = ["g", "d", "x", "y"]
+    left = r.withColumn("x", block(across)).withColumn("y", every(down)).groupBy(*cell)
+    right = q.withColumn("y", block(down)).withColumn("x", every(across)).groupBy(*cell)
+    found = left.cogroup(right).applyInArrow(_best(k), "query long, neighbour long, sim double")
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour")
+    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

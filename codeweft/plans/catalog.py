@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.functions import scoring as sc, text
 from codeweft.operators import evaluation, graph, lookup, maintenance, policy, references, reports, retrieval, search, vectors
 from codeweft.operators.versions import current_rows
 from codeweft.plans import oracle
-from codeweft.session import checkpointed, table
-from codeweft.sources import index
+from codeweft.session import checkpointed, shared_folder, table
+from codeweft.sources import index, vectors as vector_io
 from codeweft.streaming import streams
 
 MODULE = "kestrel.example"
@@ -124,6 +124,12 @@ def body_rows(spark, sf_dir):
     return reports.body_rows(index.symbols(spark, sf_dir), _short_ids(spark, sf_dir), MODULE)
 
 
+@query
+def body_declarations(spark, sf_dir):
+    s = index.symbols(spark, sf_dir)
+    return s.select("id", text.declaration(F.col("body")).alias("declaration")).withColumn("lines", F.size(F.split("declaration", "\n")))
+
+
 @query
 def body_contains(spark, sf_dir):
     s = index.symbols(spark, sf_dir)
@@ -180,6 +186,17 @@ def scalar_layers(spark, sf_dir):
         "file", text.layer(f).alias("layer"), text.extension(f).alias("ext"), text.dirname(f).alias("folder"), text.is_generated(f).alias("generated"))
 
 
+@query
+def scalar_left_out(spark, sf_dir):
+    files = table(spark, sf_dir, "source_files").select("file", text.is_left_out(F.col("file"), F.col("head")).alias("out"))
+    return files.groupBy("file").agg(F.bool_or("out").alias("left_out"))
+
+
+@query
+def lookup_without_paths(spark, sf_dir):
+    return lookup.without_paths(index.symbols(spark, sf_dir), "/gen", "/internal").groupBy("package").agg(F.count(F.lit(1)).alias("symbols"))
+
+
 @query
 def scalar_query_terms(spark, sf_dir):
     q = index.query_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -375,6 +392,19 @@ def context_trace(spark, sf_dir):
     return retrieval.trace(full, retrieval.trimmed(full))
 
 
+@query
+def context_text(spark, sf_dir):
+    full = checkpointed(_context(spark, sf_dir))
+    lines = index.symbols(spark, sf_dir).select("id", "line_start", "line_end")
+    return retrieval.as_text(retrieval.trimmed(full).join(lines, "id"), full)
+
+
+@query
+def context_verbose(spark, sf_dir):
+    """What the budget holds where documentation and reasons are given too."""
+    return retrieval.trimmed(_context(spark, sf_dir), cost=sc.cost_verbose()).select("query", "rank", "id", "used")
+
+
 def _ranked_files(spark, sf_dir):
     """Symbols of every folder scored by kind and place, the folder in the part of a task."""
     s = index.symbols(spark, sf_dir)
@@ -384,7 +414,7 @@ def _ranked_files(spark, sf_dir):
 
 @query
 def rank_source_first(spark, sf_dir):
-    return retrieval.ranked(_ranked_files(spark, sf_dir)).select("query", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.source_first(_ranked_files(spark, sf_dir)).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query
@@ -443,6 +473,13 @@ def vector_unembedded(spark, sf_dir):
     return maintenance.unembedded(index.symbols(spark, sf_dir), "loom-code-v2")
 
 
+@query
+def vector_embed_totals(spark, sf_dir):
+    """A pass over all symbols without a vector of the model, by the stand-in service."""
+    rows = maintenance.unembedded(index.symbols(spark, sf_dir), "loom-code-v2")
+    return vector_io.totals(vector_io.embed_texts(rows, vector_io.hash_embedder()))
+
+
 # reports
 
 
@@ -610,8 +647,8 @@ def _ranks(spark, sf_dir):
     """Ranks of each package's exported callables when listed source first, and when listed by name."""
     rows = _ranked_files(spark, sf_dir)
     targets = rows.filter(F.col("kind").isin("interface", "service")).select("query", F.col("id").alias("target"))
-    by_name = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
-    return evaluation.first_ranks(retrieval.ranked(rows), targets), evaluation.first_ranks(by_name, targets)
+    by_name = retrieval.whole_ranks(rows, F.col("id"))
+    return evaluation.first_ranks(retrieval.source_first(rows), targets), evaluation.first_ranks(by_name, targets)
 
 
 @query
@@ -649,6 +686,11 @@ def stream_debounce(spark, sf_dir):
     return streams.drain(streams.debounced(streams.closed(streams.source(spark, sf_dir, "read_events"), "recorded_at")), "debounce")
 
 
+@query
+def stream_relink(spark, sf_dir):
+    return streams.relinked(streams.source(spark, sf_dir, "symbols"), index.edges(spark, sf_dir), shared_folder(spark, "relink"))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     return streams.drain(streams.deduplicated(streams.source(spark, sf_dir, "read_events")).select("event_no", "file"), "dedup")

@@ -388,3 +388,22 @@ SQL["body_rows"] = SQL["lookup_fuzzy_tiered"].replace("        SELECT query, id,
     named AS (SELECT b.query, s.id, s.body, CASE WHEN starts_with(s.id, 'kestrel.example/') THEN s.id[17:] ELSE s.id END AS short_id FROM best b JOIN sym s USING (id))
     SELECT query, id, short_id, body, CASE WHEN id <> query THEN 'Fuzzy match: requested "' || query || '", resolved to "' || short_id || '"' ELSE '' END AS hint, coalesce(refs, '') AS "references"
     FROM named LEFT JOIN refs USING (id)""")
+SQL["context_verbose"] = _CONTEXT + """, costed AS (SELECT r.*, sum((strlen(r.signature) + strlen(docstring) + strlen(r.id) + strlen(why) + strlen(r.file) + 110) // 4)
+          OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM ranked r JOIN (SELECT id, docstring FROM sym) USING (id))
+        SELECT query, rank, id, used FROM costed WHERE used <= 2000"""
+SQL["context_text"] = _CONTEXT + _TRIMMED.format(budget=2000) + _PACKAGES.format(src="trimmed").replace("SELECT query, folder, symbols, kinds FROM folders", ", many AS (SELECT query, folder, symbols, kinds FROM folders") + """),
+        heads AS (SELECT query, 'packages:' || chr(10) || string_agg('  ' || folder || ' \u2014 ' || symbols || ' (' || kinds || ')', chr(10) ORDER BY symbols DESC, folder) || chr(10) AS head FROM many GROUP BY query),
+        body AS (SELECT query, count(*) AS n, string_agg(kind || ' ' || id || ' \u2014 ' || signature || ' \u2014 ' || file || ':' || line_start
+          || CASE WHEN line_end > line_start THEN '-' || line_end ELSE '' END, chr(10) ORDER BY rank) AS lines FROM trimmed JOIN (SELECT id, line_start, line_end FROM sym) USING (id) GROUP BY query),
+        every AS (SELECT query, count(*) AS total FROM ranked GROUP BY query)
+        SELECT query, concat_ws(chr(10), head, lines, CASE WHEN total > n THEN '(+' || (total - n) || ' more)' END) AS text FROM body JOIN every USING (query) LEFT JOIN heads USING (query)"""
+SQL["body_declarations"] = BASE + """, l AS (SELECT id, string_split(body, chr(10)) AS l FROM sym),
+        p AS (SELECT id, l, list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[1:i], '')) AS upto FROM l),
+        e AS (SELECT id, l, coalesce(list_filter(range(1, len(l) + 1), lambda i: CASE WHEN contains(upto[i], '{') THEN length(replace(upto[i], '{', '')) >= length(replace(upto[i], '}', '')) ELSE i = 1 END)[1], len(l)) AS n FROM p)
+        SELECT id, array_to_string(l[1:n], chr(10)) AS declaration, n::INTEGER AS lines FROM e"""
+SQL["scalar_left_out"] = """SELECT file, bool_or(NOT (file LIKE '%.pb.go' OR file LIKE '%.pb.gw.go') AND (
+          len(list_filter(string_split(file, '/'), lambda p: starts_with(p, '.') OR p IN ('vendor', 'gen', 'generated'))) > 0 OR ends_with(file, '_gen.go') OR ends_with(file, '_generated.go')
+          OR contains(array_to_string(string_split(coalesce(head, ''), chr(10))[1:5], chr(10)), 'Code generated'))) AS left_out FROM source_files GROUP BY file"""
+SQL["lookup_without_paths"] = BASE + "SELECT package, count(*) AS symbols FROM sym WHERE NOT contains(package, '/gen') AND NOT contains(package, '/internal') GROUP BY package"
+SQL["vector_embed_totals"] = BASE + "SELECT count(*) AS considered, count(*) AS embedded, 0::BIGINT AS failed FROM sym WHERE embedding IS NULL OR embedding_model <> 'loom-code-v2'"
+SQL["stream_relink"] = SQL["graph_link_rebuild"].replace(" LEFT JOIN gone USING (id) WHERE gone.deleted_at IS NULL OR gone.deleted_at < cur.indexed_at", "")

@@ -35,6 +35,12 @@ def hash_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[float
     return embed
 
 
+def totals(embedded: DataFrame) -> DataFrame:
+    """One row: texts considered, embedded and failed in a pass."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return embedded.agg(F.count(F.lit(1)).alias("considered"), n("embedded"), n("failed"))
+
+
 def embed_texts(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "id", text: str = "text", batch: int = 32) -> DataFrame:
     """key, embedding, status: texts go to the service in batches; a batch that fails is marked, the pass goes on."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

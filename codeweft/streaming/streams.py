@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.functions import text
-from codeweft.operators import policy
+from codeweft.operators import graph, policy
 from codeweft.session import shared_folder
 
 
@@ -66,6 +66,23 @@ def debounced(events: DataFrame, gap: str = "2 hours") -> DataFrame:
             .select("ext", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "reads", "whole"))
 
 
+def relinked(stream: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """The edges after every batch of symbols has been merged into the folder and the links from methods
+    to rpcs have been made anew. Each batch writes a version of both, so one that is run again after a
+    failure gives the same."""
+    merge, done = merge_into(f"{path}/symbols", "id", "seq"), []
+
+    def write(batch: DataFrame, no: int) -> None:
+        merge(batch, no)
+        now = batch.sparkSession.read.parquet(f"{path}/symbols/v{no}")
+        graph.relink(edges, now).write.mode("overwrite").parquet(f"{path}/edges/v{no}")
+        done.append(no)
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(edges.schema).parquet(f"{path}/edges/v{done[-1]}") if done else edges
+
+
 def merge_into(path: str, key: str, order: str):
     """foreachBatch function that keeps the newest row per key in a folder, version by version."""
     def write(batch: DataFrame, no: int) -> None:

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 NAMES = ("p2_found p2_orphans_by_month lookup_exact lookup_fuzzy_tiered lookup_name_contains body_callers scalar_names scalar_query_terms fts_by_kind graph_callers_tiered "
          "graph_expand_2 graph_viz_dot graph_link_rebuild rank_budget_trim dedup_boilerplate package_summary vector_topk impact_generic pattern_slice unimplemented_counts "
          "dml_upsert_merge dml_restore_vectors policy_decisions session_rollup eval_recall_mrr stream_debounce stream_dedup stream_tumbling body_references impact_field "
-         "lookup_expand_ids query_classes context_precise context_vector graph_viz_callers dml_delete_prefix dml_update_vectors eval_violations body_rows").split()
+         "rank_source_first eval_rank_delta vector_symbols stream_relink body_declarations scalar_left_out context_verbose lookup_expand_ids query_classes context_precise context_vector graph_viz_callers dml_delete_prefix dml_update_vectors eval_violations body_rows").split()
 
 
 @pytest.fixture(scope="module")

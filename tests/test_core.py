@@ -390,3 +390,64 @@ def test_deletes_by_prefix_and_updates_of_vectors(spark):
     fresh = spark.createDataFrame([("p.B", [2.0], "n"), ("p.C", [3.0], "n")], "id string, embedding array<float>, embedding_model string")
     got = {r.id: (r.embedding, r.embedding_model) for r in maintenance.update_vectors(base, fresh).collect()}
     assert got == {"p.A": ([1.0], "m"), "p.B": ([2.0], "n")}
+
+
+def test_whole_ranks_of_a_large_group(spark):
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 7}", f"id{i:04}", float(rng.randrange(5)), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "query string, id string, score double, part int")
+    got = {(r.query, r.id): r.place for r in retrieval.whole_ranks(df.drop("part").repartition(5), -F.col("score"), F.col("id"), name="place").collect()}
+    want = {}
+    for q in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1])), 1):
+            want[q, r[1]] = place
+    assert got == want
+    assert retrieval.whole_ranks(df.drop("part").limit(0), F.col("id")).collect() == []
+
+
+def test_nearest_ties_and_unusable_vectors(spark):
+    nan = float("nan")
+    rows = [(i, "a", [1.0, 0.0]) for i in range(60)] + [(100, "a", [0.0, 1.0]), (101, "a", None), (102, "a", []), (103, "a", [nan, 1.0]), (104, "a", [0.0, 0.0]),
+                                                        (105, "a", [1.0, 0.0, 0.0]), (106, "b", [1e30, 0.0]), (107, None, [1.0, 0.0]), (0, "a", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = vectors.nearest(df, df.filter("vec_id in (0, 100, 101, 105, 106)"), 3).collect()
+    found = {q: [r.neighbour for r in sorted(got, key=lambda r: r.pos) if r.query == q] for q in {r.query for r in got}}
+    assert found == {0: [1, 2, 3], 100: [0, 1, 2]}  # ties by the lesser key; the rest has no usable vector or nobody beside it
+    assert vectors.nearest(df, df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("x,y", [("const a = 1\nconst b = 2", "const a = 1"), ("func f() {\n  if x {\n  }\n}\nfunc g() {}", "func f() {\n  if x {\n  }\n}"),
+                                 ("func f() {}\nrest", "func f() {}"), ("func f() {\n  never", "func f() {\n  never"), ("", ""), (None, None)])
+def test_declaration(spark, x, y):
+    assert value(spark, x, text.declaration) == y
+
+
+def test_left_out_files(spark):
+    rows = [("a/b.go", None, False), ("vendor/x.go", "", True), ("a/.git/x.go", "", True), ("a/gen/x.pb.go", "", False), ("a/x_gen.go", "", True),
+            ("a/y.go", "1\n2\n3\n4\n// Code generated", True), ("a/z.go", "1\n2\n3\n4\n5\n// Code generated", False), ("a/vendored.go", "", False)]
+    df = spark.createDataFrame([r[:2] for r in rows], "file string, head string")
+    got = {r.file: r.out for r in df.select("file", text.is_left_out(F.col("file"), F.col("head")).alias("out")).collect()}
+    assert got == {f: out for f, _, out in rows}
+    s = symbols(spark, sym(1, "m/gen.A"), sym(2, "m/core.B"))
+    assert [r.id for r in lookup.without_paths(s, "/gen", "/vendor").collect()] == ["m/core.B"]
+    assert lookup.without_paths(s).count() == 2
+
+
+def test_totals_of_a_pass_with_failures(spark):
+    def service(texts):
+        if "bad" in texts:
+            raise OSError("no answer")
+        return [[1.0]] * len(texts)
+
+    rows = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "good")], "id string, text string").coalesce(1)
+    assert tuple(vector_io.totals(vector_io.embed_texts(rows, service, batch=1)).first()) == (3, 2, 1)
+    assert tuple(vector_io.totals(vector_io.embed_texts(rows.limit(0), service)).first()) == (0, 0, 0)
+
+
+def test_text_of_an_answer(spark):
+    kept = spark.createDataFrame([(1, 1, "p.A", "func", "func A()", "x/a.go", 3, 9, 10), (1, 2, "q.B", "type", "type B", "y/b.go", 4, 4, 20), (2, 1, "p.A", "func", "func A()", "x/a.go", 3, 9, 10)],
+                                 "query long, rank int, id string, kind string, signature string, file string, line_start int, line_end int, used long")
+    full = spark.createDataFrame([(1,), (1,), (1,), (2,)], "query long")
+    got = {r.query: r.text for r in retrieval.as_text(kept, full).collect()}
+    assert got[1] == "packages:\n  x — 1 (func)\n  y — 1 (type)\n\nfunc p.A — func A() — x/a.go:3-9\ntype q.B — type B — y/b.go:4\n(+1 more)"
+    assert got[2] == "func p.A — func A() — x/a.go:3-9"
