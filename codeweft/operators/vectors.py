@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codeweft.session import checkpointed
+
 #: Rows and queries that meet in one task, at most about so many of each (64 dimensions of 4 bytes: 8 MB a side).
 ROWS, QUERIES = 32768, 32768
 #: Sides of the tables of similarities made at a time.
@@ -28,8 +30,8 @@ def _best(k: int):
         x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
         x /= np.abs(x).max(axis=1, keepdims=True)  # first, so that no square overflows
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        order = np.argsort(keys, kind="stable")
-        return keys[order], x[order]
+        keys, first = np.unique(keys, return_index=True)  # rows of one key meet in one cell
+        return keys, x[first]
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
@@ -63,9 +65,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     def side(df: DataFrame) -> DataFrame:
         v = F.col(vector)
         return (df.filter(valid(vector) & F.col(key).isNotNull() & F.col(group).isNotNull())
-                .select(F.col(key).cast("long").alias("k"), F.col(group).cast("string").alias("g"), F.size(v).alias("d"), v.alias("v")).dropDuplicates(["k"]))
+                .select(F.col(key).cast("long").alias("k"), F.col(group).cast("string").alias("g"), F.size(v).alias("d"), v.alias("v")))
 
-    r, q = side(rows), side(queries)
+    r, q = checkpointed(side(rows)), checkpointed(side(queries).dropDuplicates(["k"]))
     n, m = r.count(), q.count()
     across, down = max(-(-n // ROWS), rows.sparkSession.sparkContext.defaultParallelism), max(1, -(-m // QUERIES))
     block = lambda parts: F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
