@@ -48,12 +48,29 @@ def term_coverage(terms: Column, haystack: Column) -> Column:
     return F.when((F.size(terms) <= 1) | (m <= 1), num(0)).otherwise(share * share * num(1.5))
 
 
-def affinity(words: Column, id_: Column, own: Column) -> Column:
-    """0.75 for each other query word that is a segment of the id, or, dotted, a part of it."""
-    low, segments = F.lower(id_), F.split(F.lower(id_), "[./]")
-    hits = F.filter(words, lambda w: (F.lower(w) != F.lower(own)) & F.when(
-        F.lower(w).contains("."), F.contains(low, F.lower(w))).otherwise(F.array_contains(segments, F.lower(w))))
-    return F.size(hits) * num(AFFINITY)
+def _of(value: Column, f) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def asked_words(words: Column) -> Column:
+    """A query's words as affinity asks for them, in lower case: the distinct ones without a dot, the repeats
+    of these, and those with a dot. Made once per query, so that no symbol is met with every word one by one."""
+    # sorted, so that a word is a repeat where the one before it is the same
+    sides = _of(F.sort_array(F.filter(F.transform(words, F.lower), lambda w: ~w.contains("."))), lambda p: F.struct(
+        F.array_distinct(p).alias("plain"), F.filter(p, lambda w, i: (i > 0) & (F.get(p, i - 1) == w)).alias("again")))
+    return F.struct(sides["plain"].alias("plain"), sides["again"].alias("again"),
+                    F.filter(F.transform(words, F.lower), lambda w: w.contains(".")).alias("dotted"))
+
+
+def affinity(said: Column, id_: Column, own: Column) -> Column:
+    """0.75 for each other query word (see asked_words) that is a segment of the id, or, dotted, a part of it."""
+    def of(x: Column) -> Column:
+        segments = F.array_remove(F.array_distinct(F.split(x["low"], "[./]")), x["own"])
+        plain = _of(F.array_intersect(segments, said["plain"]), lambda found: F.size(found) + F.size(F.filter(said["again"], lambda w: F.array_contains(found, w))))
+        return plain + F.size(F.filter(said["dotted"], lambda w: (w != x["own"]) & F.contains(x["low"], w)))
+
+    return _of(F.struct(F.lower(id_).alias("low"), F.lower(own).alias("own")), of) * num(AFFINITY)
 
 
 def cost_brief() -> Column:

@@ -32,12 +32,14 @@ def trimmed(word: Column) -> Column:
 
 def compound_idents(text: Column) -> Column:
     """Distinct compound identifiers and names after the last dot, in order."""
-    def of(w: Column) -> Column:
-        last = F.regexp_extract(w, r"\.([^.]+)$", 1)
+    def of(w: Column, last: Column) -> Column:
         named = (F.length(last) >= 2) & (last.rlike("^[A-Z]") | last.contains("_"))
         return F.array_compact(F.array(F.when(is_compound(w), w), F.when(named, last)))
 
-    return F.array_distinct(F.flatten(F.transform(fields(text), lambda w: of(trimmed(w)))))
+    # one step after another: what stands in an inner step is made once per word, not once per use
+    words = F.transform(fields(text), trimmed)
+    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), F.regexp_extract(w, r"\.([^.]+)$", 1).alias("last")))
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: of(p["w"], p["last"]))))
 
 
 def compound_parts(text: Column) -> Column:

@@ -14,20 +14,29 @@ VECTOR, VECTOR_HITS = 1.5, 30
 BRIEF_LEAST = 5  # no row costs less, so no more than budget / 5 rows are kept
 
 
-def exact_hits(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """query, id, score, why of symbols that a task names: whole names, and names within names."""
-    asked = queries.select("query", "words", F.explode("idents").alias("ident"))
+def exact_hits(queries: DataFrame, symbols: DataFrame, *carried: str) -> DataFrame:
+    """query, id, score, why of symbols that a task names: whole names, and names within names; and what
+    is carried of the symbols."""
+    # identifiers meet the symbols without their task's words, which would go with every one of them;
+    # hits and words meet once
+    text_of = F.xxhash64("words")
+    asked = queries.select("query", text_of.alias("text_of"), F.explode("idents").alias("ident"))
     whole = lookup.by_name(symbols).join(asked, F.col("name") == F.col("ident"))
     kind = F.when(F.col("kind") == "field", sc.num(0)).otherwise(sc.kind_weight(F.col("kind")))
-    near = sc.affinity(F.col("words"), F.col("id"), F.col("ident"))
-    first = whole.select("query", "id", (sc.num(sc.EXACT) + kind + sc.impl_boost(F.col("kind"), F.col("package"))
-                         + sc.generated_penalty(F.col("file")) + near).alias("score"), F.lit("exact name match").alias("why"), F.lit(0).alias("phase"))
+    columns = ["query", "text_of", "ident", "id", *carried]
+    first = whole.select(*columns, (sc.num(sc.EXACT) + kind + sc.impl_boost(F.col("kind"), F.col("package"))
+                         + sc.generated_penalty(F.col("file"))).alias("base"), F.lit(0).alias("phase"))
     needles = asked.filter(F.octet_length("ident") >= 10).select(F.col("ident").alias("needle")).distinct()
     inside = (lookup.names_containing(symbols, needles).select("needle", "id").join(symbols, "id")
               .join(asked, F.col("needle") == F.col("ident")))
-    second = inside.select("query", "id", (sc.num(sc.CONTAINS) + sc.kind_weight(F.col("kind")) + sc.generated_penalty(F.col("file")) + near).alias("score"),
-                           F.concat(F.lit("name contains "), F.col("ident")).alias("why"), F.lit(1).alias("phase"))
-    every = first.unionByName(second)
+    second = inside.select(*columns, (sc.num(sc.CONTAINS) + sc.kind_weight(F.col("kind")) + sc.generated_penalty(F.col("file"))).alias("base"), F.lit(1).alias("phase"))
+    said = queries.select("query", text_of.alias("said_of"), sc.asked_words(F.col("words")).alias("said"))
+    score = F.col("base") + sc.affinity(F.col("said"), F.col("id"), F.col("ident"))
+    why = F.when(F.col("phase") == 0, F.lit("exact name match")).otherwise(F.concat(F.lit("name contains "), F.col("ident")))
+    # by task alone, so that its hits need not be moved again; a key of two texts keeps each to its own words,
+    # in two comparisons because an equality would become part of the key
+    every = (first.unionByName(second).join(said, "query").filter((F.col("text_of") <= F.col("said_of")) & (F.col("text_of") >= F.col("said_of")))
+             .select("query", "id", *carried, score.alias("score"), why.alias("why"), "phase"))
     return lookup.first_per(every, ["query", "id"], ["phase", F.desc("score"), "why"], 1).drop("pos")
 
 
@@ -45,23 +54,32 @@ def candidates(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     return lookup.first_per(found, ["query", "id"], ["phase"], 1).select("query", "id", F.round("score", 9).alias("score"), "why")
 
 
-def task_vectors(queries: DataFrame, symbols: DataFrame, dimensions: int = 64) -> DataFrame:
+def usable(dimensions: int = 64):
+    """Whether a symbol's vector can be compared."""
+    return vectors.valid("embedding") & (F.size("embedding") == dimensions)
+
+
+def task_vectors(queries: DataFrame, symbols: DataFrame, dimensions: int = 64, named: DataFrame | None = None) -> DataFrame:
     """query, model, vector: what a task means, by the vector of the best symbol it names (of equal
-    scores the lesser id). Tasks that name none, or none with a usable vector, have no row."""
-    usable = symbols.filter(vectors.valid("embedding") & (F.size("embedding") == dimensions)).select("id", "embedding_model", "embedding")
-    named = exact_hits(queries, symbols).join(usable, "id")
-    best = lookup.first_per(named, ["query"], [F.desc(F.round("score", 9)), "id"], 1)
-    return best.select("query", F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
+    scores the lesser id). Tasks that name none, or none with a usable vector, have no row.
+    named: the exact hits with ``usable``, where they are there already."""
+    if named is None:
+        named = exact_hits(queries, symbols.withColumn("usable", usable(dimensions)), "usable")
+    best = lookup.first_per(named.filter("usable").select("query", "id", "score"), ["query"], [F.desc(F.round("score", 9)), "id"], 1)
+    return best.join(symbols.select("id", "embedding_model", "embedding"), "id").select("query", F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
 
 
-def vector_hits(asked: DataFrame, symbols: DataFrame, k: int = VECTOR_HITS) -> DataFrame:
+def vector_hits(asked: DataFrame, symbols: DataFrame, k: int = VECTOR_HITS, without: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """query, id, score, why of the k symbols of the model nearest to every task's vector. Symbols
-    without a usable vector of the same length take no part; a task without a vector has no hits."""
+    without a usable vector of the same length take no part; a task without a vector has no hits.
+    without: (query, seq) that are among the k but not told. digits: of the score, rounded once."""
     s = symbols.select("seq", "id", "kind", "package", "file", "embedding", "embedding_model")
     q = asked.select(F.col("query").alias("seq"), F.col("vector").alias("embedding"), F.col("model").alias("embedding_model"))
     near = vectors.nearest(s, q.withColumn("seq", -F.col("seq") - 1), k, "seq", "embedding_model").select((-F.col("query") - 1).alias("query"), F.col("neighbour").alias("seq"), "sim")
+    if without is not None:
+        near = near.join(without.select("query", "seq"), ["query", "seq"], "left_anti")
     score = (F.round("sim", 9) * sc.num(VECTOR) + sc.kind_weight(F.col("kind")) + sc.impl_boost(F.col("kind"), F.col("package")) + sc.generated_penalty(F.col("file")))
-    return near.join(s.drop("embedding", "embedding_model"), "seq").select("query", "id", F.round(score, 9).alias("score"), F.lit("vector match").alias("why"))
+    return near.join(s.drop("embedding", "embedding_model"), "seq").select("query", "id", F.round(score, digits).alias("score"), F.lit("vector match").alias("why"))
 
 
 def with_vectors(found: DataFrame, queries: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -70,6 +88,13 @@ def with_vectors(found: DataFrame, queries: DataFrame, symbols: DataFrame) -> Da
     return found.select("query", "id", "score", "why").unionByName(hits.join(found.select("query", "id"), ["query", "id"], "left_anti"))
 
 
+def vectors_add(queries: DataFrame, symbols: DataFrame, digits: int = 9) -> DataFrame:
+    """Of with_vectors over the exact hits, what the vectors add. The hits are found once, and their long
+    ids are not moved again: they serve as flags and numbers."""
+    found = checkpointed(exact_hits(queries, symbols.withColumn("usable", usable()), "seq", "usable").select("query", "seq", "id", "score", "usable"))
+    return vector_hits(task_vectors(queries, symbols, named=found), symbols, without=found, digits=digits)
+
+
 def dedup_generated(rows: DataFrame) -> DataFrame:
     """Of copies in /gen/ folders (same last name and kind within a query) the backend's, else the best, stays."""
     key = ["query", text.last_name(F.col("id")), "kind"]

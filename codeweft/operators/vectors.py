@@ -12,6 +12,8 @@ from codeweft.session import checkpointed
 ROWS, QUERIES = 32768, 32768
 #: Sides of the tables of similarities made at a time.
 ASKED = 512
+#: Similarities of which one is looked at to find what a query's least can be; pairs that are made exact at a time.
+GROUP, EXACT = 32, 1 << 16
 
 
 def valid(vector: str):
@@ -33,22 +35,38 @@ def _best(k: int):
         keys, first = np.unique(keys, return_index=True)  # rows of one key meet in one cell
         return keys, x[first]
 
+    def exact(q, x, i, j):
+        out = np.empty(len(i))
+        for at in range(0, len(i), EXACT):
+            part = slice(at, at + EXACT)
+            out[part] = np.einsum("nd,nd->n", q[i[part]], x[j[part]])
+        return np.round(out, 9)
+
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
         if len(rows) and len(asked):
             (keys, x), (ids, q) = unit(rows), unit(asked)
-            n = min(k, len(keys))
+            n, d = x.shape
+            low, coarse = np.ascontiguousarray(x.T, np.float32), q.astype(np.float32)
+            # what 32-bit floats may be off by (twice the bound for products and sums of d terms), and nine digits
+            off = (d + 8) * 2.0 ** -23 + 1e-9
+            groups = n // GROUP if n // GROUP >= 4 * k else n
             for at in range(0, len(ids), ASKED):
                 own = ids[at:at + ASKED]
-                s = np.round(q[at:at + ASKED] @ x.T, 9)
-                s[own[:, None] == keys[None, :]] = -2.0  # not itself
-                least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero((s >= least[:, None]) & (s > -1.5))
-                order = np.lexsort((j, -s[i, j], i))
-                i, j = i[order], j[order]
+                s = coarse[at:at + ASKED] @ low
+                place = np.minimum(np.searchsorted(keys, own), n - 1)
+                me = np.flatnonzero(keys[place] == own)
+                s[me, place[me]] = -np.inf  # not itself
+                # the k-th of the largest of each group is no more than the k-th of all
+                most = s if groups == n else s[:, :n // groups * groups].reshape(len(s), -1, groups).max(axis=1)
+                kth = np.partition(most, max(groups - k, 0), axis=1)[:, max(groups - k, 0)].astype(np.float64)
+                i, j = np.divmod(np.flatnonzero(s >= np.maximum(kth - 2 * off, -1.5).astype(np.float32)[:, None]), n)
+                sim = exact(q[at:at + ASKED], x, i, j)  # all that may be among the k, in 64 bits
+                order = np.lexsort((j, -sim, i))
+                i, j, sim = i[order], j[order], sim[order]
                 first = np.searchsorted(i, i, "left")
                 top = np.arange(len(i)) - first < k
-                out.append(pa.table([own[i[top]], keys[j[top]], s[i[top], j[top]]], schema=schema))
+                out.append(pa.table([own[i[top]], keys[j[top]], sim[top]], schema=schema))
         return pa.concat_tables(out)
 
     return run

@@ -362,9 +362,10 @@ def context_precise(spark, sf_dir):
 def context_vector(spark, sf_dir):
     """What the vectors of named symbols add to the exact hits of the design documents."""
     q = index.query_texts(table(spark, sf_dir, "documents").filter("doc_kind = 'design'"), "doc_id", "text")
-    s = index.symbols(spark, sf_dir)
-    found = checkpointed(retrieval.exact_hits(q, s))
-    return retrieval.with_vectors(found, q, s).filter("why = 'vector match'").select("query", "id", F.round("score", 6).alias("score"))
+    # texts are taken apart once, versions chosen once
+    q = checkpointed(q.select("query", "idents", "words"))
+    s = checkpointed(index.symbols(spark, sf_dir).select("seq", "id", "name", "kind", "package", "file", "embedding", "embedding_model"))
+    return retrieval.vectors_add(q, s, digits=6).select("query", "id", "score")
 
 
 def _context(spark, sf_dir, depth=1):

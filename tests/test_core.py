@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -451,3 +452,43 @@ def test_text_of_an_answer(spark):
     got = {r.query: r.text for r in retrieval.as_text(kept, full).collect()}
     assert got[1] == "packages:\n  x — 1 (func)\n  y — 1 (type)\n\nfunc p.A — func A() — x/a.go:3-9\ntype q.B — type B — y/b.go:4\n(+1 more)"
     assert got[2] == "func p.A — func A() — x/a.go:3-9"
+
+
+def test_exact_hits_of_a_long_text(spark):
+    """Every identifier is scored by all words of its text, which do not go with each of them."""
+    s = symbols(spark, *[sym(i, f"depot.example/yard{i % 7}.CrateHandler{i:04d}", embedding=[1.0] * 63 + [float(i)], embedding_model="m") for i in range(1500)])
+    words = [f"word{i}x" for i in range(6000)] + ["Depot", "yard3", "yard3", "yard5.", "Yard3.CrateHandler0010"]
+    prompt = " ".join([f"CrateHandler{i:04d}" for i in range(1500)] + words)
+    q = index.query_texts(spark.createDataFrame([(1, prompt), (2, "CrateHandler0010 yard3 yard3"), (3, "plain")], "k int, p string"), "k", "p")
+    began = time.monotonic()
+    got = {(r.query, r.id): r.score for r in retrieval.exact_hits(q, s).collect()}
+    assert time.monotonic() - began < 60
+
+    def score(i):
+        at = i % 7
+        return 3.0 + 0.2 + 0.75 * (1 + 2 * (at == 3) + (at == 5) + (at == 3 and i == 10))
+
+    assert got == {(1, f"depot.example/yard{i % 7}.CrateHandler{i:04d}"): score(i) for i in range(1500)} | {(2, "depot.example/yard3.CrateHandler0010"): 4.7}
+
+
+def test_what_vectors_add_is_what_is_not_found(spark):
+    s = symbols(spark, *[sym(i, f"depot.example/yard.{'Lathe' if i < 4 else 'Crane'}Handler{i:02d}", embedding=[1.0] * 63 + [float(i)] if i != 2 else None, embedding_model="m") for i in range(60)])
+    q = index.query_texts(spark.createDataFrame([(1, "LatheHandler00 and LatheHandler01"), (2, "LatheHandler02")], "k int, p string"), "k", "p")
+    got = {(r.query, r.id): r.score for r in retrieval.vectors_add(q, s).collect()}
+    every = retrieval.with_vectors(retrieval.exact_hits(q, s), q, s).filter("why = 'vector match'").collect()
+    assert got == {(r.query, r.id): r.score for r in every} and len(got) == 28 and not any(i.endswith(("r00", "r01")) for _, i in got)
+
+
+def test_nearest_of_many_rows_is_exact(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(8000, 16)).astype(np.float32)
+    x[4000:4040] = x[17]  # more equal ones than are asked for
+    x[5000:5040] = x[18] + np.arange(40, dtype=np.float32)[:, None] * 1e-6  # nearer than 32 bits tell
+    df = spark.createDataFrame([(i, v.tolist(), "g") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    got = vectors.nearest(df, df.filter("vec_id < 30"), 10).orderBy("query", "pos").collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for a in range(30):
+        sim = np.round(u @ u[a], 9)
+        sim[a] = -2
+        assert [r.neighbour for r in got if r.query == a] == np.lexsort((np.arange(len(x)), -sim))[:10].tolist()
